@@ -111,22 +111,24 @@ def _found(text: Column, templates) -> Column:
         hits = F.filter(indexes(F.size(w)), lambda i: F.get(w, i).isin(*postings))
         return F.array_distinct(F.flatten(F.transform(hits, of)))
 
+    rows = lambda make: F.array(*(F.array(*(F.lit(v) for v in make(t))) for t in templates))
+    own_words, must = rows(lambda t: t.words), rows(lambda t: [any(a <= i < b for a, b in t.mandatory) for i in range(len(t.words))])
+    least = F.array(*(F.lit(1.0 if t.base else LEAST_SHARE) for t in templates))
+
     def verified(w: Column, p: Column) -> Column:
         """Share of matching words, null if the place fails."""
 
-        def same(k: int, i: int) -> Column:
-            return F.coalesce(F.when(p["start"] + i >= 0, F.get(w, p["start"] + i)) == templates[k].words[i], F.lit(False))
-
-        out = F.lit(None).cast("double")
-        for k, t in enumerate(templates):
-            must = F.lit(True)
-            for a, b in t.mandatory:
-                for i in range(a, b):
-                    must = must & same(k, i)
-            total = sum((same(k, i).cast("int") for i in range(len(t.words))), F.lit(0))
-            share = total / float(len(t.words))
-            out = F.when((p["template"] == k) & must, F.when(share >= (1.0 if t.base else LEAST_SHARE), share)).otherwise(out)
-        return out
+        def same(i: Column, word: Column) -> Column:
+            at = p["start"] + i
+            return F.coalesce(F.when(at >= 0, F.get(w, at)) == word, F.lit(False))
+
+        def judged(same_words: Column) -> Column:
+            right = F.aggregate(same_words, F.lit(0), lambda a, x: a + x.cast("int"))
+            share = right / F.size(same_words).cast("double")
+            whole = F.forall(F.zip_with(same_words, F.get(must, p["template"]), lambda x, m: x | ~m), lambda x: x)
+            return F.when(whole & (share >= F.get(least, p["template"])), share)
+
+        return let(F.transform(F.get(own_words, p["template"]), lambda word, i: same(i, word)), judged)
 
     def places(w: Column) -> Column:
         checked = F.transform(proposals(w), lambda p: F.struct(p["template"].alias("template"), p["start"].alias("start"), verified(w, p).alias("share")))
