@@ -1,4 +1,9 @@
 """Queries of the library's own operators and their DuckDB SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from . import layout, strings, tracking
+
+_PARTS = (tracking, strings, layout)
+QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLE_SQL = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}
