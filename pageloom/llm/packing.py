@@ -34,8 +34,8 @@ GAP = 0.002
 #: Weight of the best prices so far in those a round tries first, which steadies column generation.
 STEADY = 0.8
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
-MOST_WORDS, LONGEST_WORD = 200_000, 256
+#: Words in each of the two generations that a worker remembers.
+MOST_WORDS, LONGEST_WORD = 400_000, 256
 
 _LETTERS, _NUMBERS = "a-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 #: A text with any other character goes through the tokenizer library as a whole.
@@ -52,14 +52,18 @@ class WordEncoder(dict):
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self._whole(word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._whole(word)
         if len(word) <= LONGEST_WORD:
-            if len(self) >= MOST_WORDS:
+            if len(self) >= MOST_WORDS:  # words used since the last change stay known for another
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
