@@ -138,7 +138,7 @@ def _components(s, d):
                     edges.append((i, j))
         return [int(p.box.iloc[r]) for r in K.components(len(rows), edges)]
 
-    return K.per_group(b, ["page"], ["box"], "component", "bigint", kernel).select("page", "box", "component")
+    return K.per_group(b, ["page"], ["box"], "component", "bigint", kernel).select("page", "box", "component").distinct()
 
 
 def _rect_groups(kernel):
