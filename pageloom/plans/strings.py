@@ -45,7 +45,7 @@ def _cases(values, **columns):
 
 
 
-_HEAD_ARGS = (F.lit(16.0), F.lit(11.0), F.lit(300.0), F.lit(800.0), F.lit(5))
+_HEAD_ARGS = (16.0, 11.0, 300.0, 800.0, 5)  # size, body size, top, page height, page
 QUERIES = {
     "str_01_xml_chars": lambda s, d: _part(s, d).select("p_partkey", F.length(S.strip_invalid_xml(F.concat(F.char(F.col("p_partkey") % 32), F.col("p_name"), F.lit("￾\U0001f600")))).alias("n")),
     "str_02_entities": _over(ENTITY_TEXTS, lambda t: [S.decode_entities(t).alias("text")]),
@@ -71,7 +71,7 @@ QUERIES = {
     "str_21_sizes": lambda s, d: _part(s, d).select("p_partkey", S.human_size(F.col("p_partkey") * F.col("p_partkey") * 7).alias("size")),
     "str_22_roman": lambda s, d: _part(s, d).select("p_partkey", S.is_roman(_pick("p_partkey", "xiv", "MCM", "x1", "", "mild")).alias("roman"), S.is_page_number(_pick("p_partkey", " 12 ", "12345", "iv", "a")).alias("number")),
     "str_23_list_items": lambda s, d: _part(s, d).select("p_partkey", S.list_item(_pick("p_partkey", *LISTS)).alias("i")).select("p_partkey", F.col("i.kind").alias("kind"), F.col("i.content").alias("content")),
-    "str_24_headings": _over(HEADINGS, lambda t: [S.heading_kind(t, *_HEAD_ARGS).alias("kind"), S.is_front_matter(t, F.lit(40)).alias("front")]),
+    "str_24_headings": _over(HEADINGS, lambda t: [S.heading_kind(t, *map(F.lit, _HEAD_ARGS)).alias("kind"), S.is_front_matter(t, F.lit(40)).alias("front")]),
     "str_25_references": _over(REFERENCES, lambda t: [F.array_join(S.split_references(t), "|").alias("items")]),
     "str_26_fonts": _over(FONTS, lambda t: [S.font_role(t).alias("role"), S.font_family(t).alias("family")]),
     "str_27_spaces": lambda s, d: _docs(s, d).select("doc_id", F.length(S.collapse_space(F.col("text"))).alias("n")),
