@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -16,15 +17,49 @@ from ..shipping import ship
 
 
 def per_group(df: DataFrame, keys: list[str], order: list[str], out: str, kind: str, kernel: Callable[[pd.DataFrame], list]) -> DataFrame:
-    """``df`` with a column that ``kernel`` computes from the group's rows in order."""
-    ship(df.sparkSession)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        return pdf.assign(**{out: kernel(pdf)})
+    """``df`` with a column that ``kernel`` computes from each group's rows in order.
 
-    return df.drop(out).groupBy(*keys).applyInPandas(run, ", ".join([*fields, f"`{out}` {kind}"]))
+    Groups are small and many, so they pass through Python in batches of sorted
+    rows rather than one call each; only the group at a batch's end is held over.
+    """
+    ship(df.sparkSession)
+    narrow = df.drop(out)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema]
+
+    def solved(rows: pd.DataFrame) -> pd.DataFrame:
+        begins = np.zeros(len(rows), bool)
+        begins[0] = True
+        for k in keys:
+            now, before = rows[k].to_numpy()[1:], rows[k].to_numpy()[:-1]
+            begins[1:] |= (now != before) & ~(pd.isna(now) & pd.isna(before))
+        starts = [*np.nonzero(begins)[0].tolist(), len(rows)]
+        values: list = []
+        for i, j in zip(starts, starts[1:], strict=False):
+            values.extend(kernel(rows.iloc[i:j].reset_index(drop=True)))
+        return rows.assign(**{out: values})
+
+    def last_start(rows: pd.DataFrame) -> int:
+        same = np.ones(len(rows), bool)
+        for k in keys:
+            column, last = rows[k].to_numpy(), rows[k].iloc[-1]
+            same &= pd.isna(column) if pd.isna(last) else column == last
+        return len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
+
+    def run(batches):
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            cut = last_start(rows)
+            if cut:
+                yield solved(rows.iloc[:cut])
+            held = rows.iloc[cut:]
+        if held is not None and len(held):
+            yield solved(held)
+
+    dealt = narrow.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInPandas(run, ", ".join([*fields, f"`{out}` {kind}"]))
 
 
 def running_mean_groups(values: list[float], tolerance: float) -> list[int]:

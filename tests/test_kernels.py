@@ -101,3 +101,13 @@ def test_labels():
 ])
 def test_word_splits(text, want):
     assert repaired(text) == want
+
+
+def test_groups_over_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    rows = [(g, None if g == 2 else g % 3, i, float(i * 2 % 7)) for g in range(6) for i in range(1 + g * 4)]
+    df = spark.createDataFrame(rows, "a int, b int, i int, v double")
+    made = K.per_group(df, ["a", "b"], ["i"], "n", "int", lambda p: [len(p)] * len(p)).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["a"], r["i"], r["n"]) for r in made) == sorted((g, i, 1 + g * 4) for g, _, i, _ in rows)
+    assert K.per_group(df.limit(0), ["a"], ["i"], "n", "int", lambda p: []).count() == 0
