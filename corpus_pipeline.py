@@ -37,7 +37,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality", quality_stage), ("simhash", simhash_stage), ("pii", pii_stage), ("packing", packing_stage)]
 
-#: Fingerprints, boosted trees and column generation are not expressible in SQL; see tests/llm/test_pipeline.py.
+#: Fingerprints, boosted trees and column generation are not expressible in SQL; see tests/llm/test_collections.py.
 ORACLE_SQL = None
 
 

@@ -267,6 +267,16 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     return dealt.sortWithinPartitions("k1", "k2", "k3").mapInArrow(_compare(radius), "u bigint, v bigint")
 
 
+def _classed(marked: DataFrame, id_col: str, radius: int, bucket: int) -> DataFrame:
+    """``marked`` with ``root``, the smallest fingerprint of the row's class, and ``component_id``."""
+    nodes = checkpoint(marked.groupBy("fp").agg(F.min(id_col).alias("rep")))
+    classes = checkpoint(connected_components(links(nodes.select("fp"), radius, bucket)).withColumnRenamed("node", "fp"))
+    rooted = nodes.join(classes, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, size: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
     """``(id_col, fp, component_id)``: one row for each row of ``df``.
 
@@ -278,19 +288,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     read; an empty table gives an empty result.
     """
     marked = checkpoint(fingerprints(df, id_col, text_col, size, seed))
-    nodes = checkpoint(marked.groupBy("fp").agg(F.min(id_col).alias("rep")))
-    classes = checkpoint(connected_components(links(nodes.select("fp"), radius, bucket)).withColumnRenamed("node", "fp"))
-    rooted = nodes.join(classes, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(id_col, "fp", "component_id")
+    return _classed(marked, id_col, radius, bucket).select(id_col, "fp", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of each class stays: that of the smallest id, of several such rows the one with the smallest text (nulls first)."""
-    classes = near_duplicates(df, id_col, text_col, radius)
-    keepers = classes.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    held = df.join(keepers, df[id_col].eqNullSafe(keepers[id_col]), "left_semi")
+    """One row of each class stays, that of the smallest id.
+
+    Null ids come last; of several texts under that id the one with the smallest
+    hash stays, and of several rows with that text the smallest row. An id that
+    is null or shared by unlike texts still keeps one row in every class.
+    """
+    # the row's text is known by its 64-bit hash, which the Arrow pass hands on with the id
+    keyed = df.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key")).alias("__row"), F.col(text_col))
+    marked = checkpoint(fingerprints(keyed, "__row", text_col).select(F.col("__row.id").alias("__id"), F.col("__row.key").alias("__text_key"), "fp"))
+    classes = _classed(marked, "__id", radius, BUCKET)
+    best = classes.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__text_key").alias("key"))).alias("b"))
+    keepers = best.select(F.col("b.id").alias("__keep_id"), F.col("b.key").alias("__keep_key"))
+    held = df.withColumn("__text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    held = held.join(keepers, F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.col("__text_key") == F.col("__keep_key")), "left_semi")
     rest = [c for c in df.columns if c != id_col]
-    first = held.groupBy(id_col).agg(F.min(F.struct(*([F.col(text_col)] + [F.col(c) for c in rest if c != text_col]))).alias("__row"))
+    row = F.struct(*([F.col(text_col)] + [F.col(c) for c in rest if c != text_col]))
+    first = held.groupBy(id_col, "__text_key").agg(F.min(row).alias("__row"))
     return first.select(*(F.col(id_col) if c == id_col else F.col("__row").getField(c).alias(c) for c in df.columns))

@@ -142,6 +142,14 @@ def test_one_of_each_class_stays(docs, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
+def test_unlike_texts_under_one_id_stay(spark):
+    a, b, c = ("alpha beta gamma delta epsilon", "one two three four five six", "red orange yellow green blue indigo")
+    rows = [(None, a, 1), (None, b, 2), (None, b, 1), (7, c, 1), (7, a + " zeta eta theta", 3), (9, c, 0), (7, c, 1)]
+    out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n long")).collect()
+    want = [(None, a, 1), (None, b, 1), (7, c, 1), (7, a + " zeta eta theta", 3)]
+    assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
+
+
 # ---- top-k ----
 def plain_top(rows, k=5):
     held = [(i, np.floor(np.float64(256) * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
