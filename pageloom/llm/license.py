@@ -164,3 +164,33 @@ def licenses(df: DataFrame, text_col: str = "text", templates=TEMPLATES) -> Data
         "n_base": F.size(own).cast("bigint"), "first_word": F.array_min(starts), "last_word": F.array_max(starts), "base_labels": joined(own),
         "labels": joined(F.col("places")), "score": F.coalesce(F.array_max(F.transform("places", lambda p: p["share"])), F.lit(0.0)),
     })
+
+
+def oracle_sql(templates=TEMPLATES) -> str:
+    """DuckDB SQL for the digest of ``licenses`` over ``documents``: every start of every template, without an index."""
+    quoted = ", ".join(
+        f"({k}, '{t.label}', {str(t.base).lower()}, {len(t.words)}, {sum(b - a for a, b in t.mandatory)}, {i}, '{w}', {str(any(a <= i < b for a, b in t.mandatory)).lower()})"
+        for k, t in enumerate(templates) for i, w in enumerate(t.words)
+    )
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH template_words(k, label, base, size, must, spot, word, needed) AS (VALUES {quoted}),
+docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), placed AS (
+  SELECT row_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place FROM docs
+), starts AS (
+  SELECT row_id, k, any_value(label) AS label, any_value(base) AS base, place - spot AS first_at, count(*) / any_value(size)::DOUBLE AS share,
+         count(*) FILTER (WHERE needed) AS held, any_value(must) AS must
+  FROM placed JOIN template_words USING (word) GROUP BY row_id, k, place - spot
+), places AS (
+  SELECT * FROM starts WHERE held = must AND share >= CASE WHEN base THEN 1.0 ELSE {LEAST_SHARE} END
+), found AS (
+  SELECT row_id, count(*) FILTER (WHERE base) AS n_base, min(first_at) FILTER (WHERE base) AS first_word, max(first_at) FILTER (WHERE base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM places GROUP BY row_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+       CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM docs LEFT JOIN found USING (row_id)
+"""

@@ -96,6 +96,6 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 #: Operators whose full result SQL can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL = {"op8_top_k": _TOP_K_SQL}
+ORACLE_SQL = {"op5_license_scan": license.oracle_sql(), "op8_top_k": _TOP_K_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
