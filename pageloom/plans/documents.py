@@ -99,12 +99,13 @@ def _written(spark, texts, name):
 
 
 def _layout(s, d):
-    f = fragments(s, d).filter("doc_id < 20")
+    """Fragments of all pages, written as layout XML and read again; a page is known by its document and number."""
+    f = fragments(s, d)
     folder = scratch(s)
     text = F.struct(F.col("top").alias("_top"), F.col("left").alias("_left"), F.col("width").alias("_width"), F.col("height").alias("_height"), F.lit("F1").alias("_font"), F.concat(F.lit("t"), F.col("stream_index").cast("string")).alias("_VALUE"))
-    pages = f.groupBy((F.col("doc_id") * 1000 + F.col("page")).cast("int").alias("_number")).agg(F.lit(400.0).alias("_width"), F.lit(100.0).alias("_height"), F.collect_list(text).alias("text"))
+    pages = f.groupBy(F.col("doc_id").alias("_doc_id"), F.col("page").cast("int").alias("_number")).agg(F.lit(400.0).alias("_width"), F.lit(100.0).alias("_height"), F.collect_list(text).alias("text"))
     pages.write.format("xml").option("rootTag", "pdf2xml").option("rowTag", "page").save(f"{folder}/layout")
-    return R.layout(s, f"{folder}/layout").select("page", "text", "top", "left", "baseline")
+    return R.layout(s, f"{folder}/layout", "doc_id bigint").select("doc_id", "page", "text", "top", "left", "baseline")
 
 
 def _media_path(s):

@@ -23,11 +23,13 @@ MEDIUM = T.StructType([T.StructField(f"_{n}", k) for n, k in (("id", T.StringTyp
 MEDIA_PAGE = T.StructType([T.StructField("_index", T.IntegerType()), T.StructField("media", T.ArrayType(MEDIUM))])
 
 
-def layout(spark: SparkSession, path: str) -> DataFrame:
-    """Text fragments of layout XML: one row for each text of each page."""
-    pages = spark.read.format("xml").option("rowTag", "page").schema(PAGE).load(path)
-    rows = pages.select(F.col("_number").alias("page"), F.col("_width").alias("page_width"), F.col("_height").alias("page_height"), F.posexplode("text").alias("stream_index", "t"))
-    return rows.select("page", "page_width", "page_height", "stream_index", F.col("t._VALUE").alias("text"), *(F.col(f"t._{n}").alias(n) for n in ("top", "left", "width", "height", "font")), (F.col("t._top") + F.col("t._height")).alias("baseline"))
+def layout(spark: SparkSession, path: str, keys: str = "") -> DataFrame:
+    """Text fragments of layout XML: one row for each text of each page. ``keys``: further attributes of pages, in DDL."""
+    more = T.StructType.fromDDL(keys).fields if keys else []
+    schema = T.StructType([T.StructField(f"_{k.name}", k.dataType) for k in more] + PAGE.fields)
+    pages = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path)
+    rows = pages.select(*(F.col(f"_{k.name}").alias(k.name) for k in more), F.col("_number").alias("page"), F.col("_width").alias("page_width"), F.col("_height").alias("page_height"), F.posexplode("text").alias("stream_index", "t"))
+    return rows.select(*(k.name for k in more), "page", "page_width", "page_height", "stream_index", F.col("t._VALUE").alias("text"), *(F.col(f"t._{n}").alias(n) for n in ("top", "left", "width", "height", "font")), (F.col("t._top") + F.col("t._height")).alias("baseline"))
 
 
 def media(spark: SparkSession, path: str) -> DataFrame:
