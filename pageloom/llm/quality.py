@@ -17,11 +17,13 @@ from .native import indexes, let, words
 
 #: Base rules.
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 10, 20, 5
-#: Ratios whose upper end is judged, with the least value that may be an upper fence:
-#: below it a document is in order whatever its group looks like.
-RATIOS = {"symbol_ratio": 0.25, "dup_line_ratio": 0.5, "repeat_ratio": 0.2, "word_length": 14.0}
-#: The fence lies so many times the quartile range above the upper quartile.
-SPREAD = 4.0
+#: Ratios whose upper end is judged, with the least and the largest value that may be an upper fence:
+#: below the first a document is in order, above the second it is not, whatever its group looks like.
+#: Words have no bound of their own in scripts without spaces, hence the wide range of ``word_length``.
+RATIOS = {"symbol_ratio": (0.1, 0.8), "dup_line_ratio": (0.3, 0.6), "repeat_ratio": (0.15, 0.2), "word_length": (7.0, 100.0)}
+#: The fence lies so many times the distance from the lower quartile to the median above the
+#: median; neither is moved far by junk at the upper end of less than half of a group.
+SPREAD = 9.0
 #: Rows that a source needs for fences of its own; smaller ones take their language's.
 LEAST_GROUP = 200
 #: Fences are broadcast up to so many languages and sources, joined by their keys beyond.
@@ -83,9 +85,12 @@ def _ratios() -> dict[str, Column]:
 
 
 def sketches(counted: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row for each language and source: rows and a KLL sketch of every ratio. Sketches of further data merge into these."""
+    """One row for each language and source: rows that pass the base rules and a KLL sketch of every ratio over them.
+
+    Sketches of further data merge into these. A group without such a row has none, and nothing left to judge.
+    """
     ratios = _ratios()
-    return counted.groupBy(F.col(lang_col).alias("__lang"), F.col(source_col).alias("__source")).agg(
+    return counted.filter("NOT base_failed").groupBy(F.col(lang_col).alias("__lang"), F.col(source_col).alias("__source")).agg(
         F.count(F.lit(1)).alias("__n"), *(F.kll_sketch_agg_double(c).alias(f"__sketch_{k}") for k, c in ratios.items())
     )
 
@@ -93,9 +98,9 @@ def sketches(counted: DataFrame, lang_col: str = "lang", source_col: str = "sour
 def fences(by_source: DataFrame) -> DataFrame:
     """Upper fences per language and source from ``sketches``; small sources take those of their whole language."""
 
-    def upper(sketch: str, floor: float) -> Column:
-        low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        return F.greatest(high + SPREAD * (high - low), F.lit(floor))
+    def upper(sketch: str, bounds: tuple[float, float]) -> Column:
+        low, middle = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.5))
+        return F.least(F.greatest(middle + SPREAD * (middle - low), F.lit(bounds[0])), F.lit(bounds[1]))
 
     own = by_source.select("__lang", "__source", "__n", *(upper(f"__sketch_{k}", v).alias(f"__own_{k}") for k, v in RATIOS.items()))
     merged = by_source.groupBy("__lang").agg(*(F.kll_merge_agg_double(f"__sketch_{k}").alias(f"__sketch_{k}") for k in RATIOS))
