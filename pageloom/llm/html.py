@@ -29,7 +29,7 @@ OUT_TAGS = frozenset("head nav footer aside form button select option dialog men
 #: Closed by the next block of their kind.
 ONE_AT_A_TIME = frozenset("p li dt dd tr td th option".split())
 OUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|nav|navbar|navigation|menu|menus|breadcrumbs?|sidebar|side-bar|widget|footer|masthead|site-header|page-header|header|comments?|commentlist|disqus|respond|replies|reply|reviews?|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search|pagination|pager|toc|tags|copyright|disclaimer|skip-link|hidden)(?:$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|nav|navbar|navigation|menu|menus|breadcrumbs?|sidebar|side-bar|widget|footer|masthead|site-header|page-header|header|comments?|commentlist|disqus|respond|replies|reply|reviews?|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search|pagination|pager|toc|tags|copyright|disclaimer|skip-link|(?<!overflow-)(?<!overflow-[xy]-)hidden)(?:$|[\s_-]|\d)",
     re.I,
 )
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -41,7 +41,8 @@ al como con cuando del desde donde el ella ellos era es esta este fue ha hay la
 """.split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute with its value, so that nothing inside a value is taken for a name.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -58,7 +59,7 @@ def _excluded(tag: str, attributes: str, inside: bool) -> bool:
         return True
     if not attributes:
         return False
-    for name, value in _NAMES.findall(attributes):
+    for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"' ")
         if name in ("class", "id") and tag not in ("html", "body", "article", "main") and OUT_NAMES.search(value):
             return True
@@ -150,13 +151,25 @@ def blocks(page: str) -> list[_Block]:
     return kept
 
 
-def _first_pass(b: _Block, article: bool) -> bool | None:
-    if b.out or b.linked > LINKS * sum(map(len, b.parts)) or article and not b.inside:
+def _stop_words(text: str) -> tuple[int, int]:
+    """How many words, and how many of them are stop words."""
+    found = [w.lower() for w in _WORD.findall(text)]
+    return len(found), sum(w in STOP_WORDS for w in found)
+
+
+def _linked(b: _Block) -> bool:
+    return b.linked > LINKS * sum(map(len, b.parts))
+
+
+def _first_pass(b: _Block, article: bool, listed: bool) -> bool | None:
+    if b.out or _linked(b) or article and not b.inside:
         return False
-    found = [w.lower() for w in _WORD.findall(b.text)]
-    share = sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
     if len(b.text) < SHORT or b.heading:
         return None
+    if not listed:
+        return True
+    n, stops = _stop_words(b.text)
+    share = stops / n if n else 0.0
     if share >= HIGH:
         return True
     return None if share >= LOW or b.inside else False
@@ -165,10 +178,18 @@ def _first_pass(b: _Block, article: bool) -> bool | None:
 def main_text(page: str | None) -> str:
     """The article's blocks joined by one space; empty if there is none."""
     found = blocks(page or "")
-    # a page that marks its article says where the text is: blocks elsewhere are decided
-    article = any(b.inside and not b.out for b in found)
+    # long blocks say whether the page's language is one of the stop words'; if not, length and links decide
+    long = [b for b in found if not b.out and not b.heading and len(b.text) >= SHORT and not _linked(b)]
+    counts = [_stop_words(b.text) for b in long]
+    listed = sum(s for _, s in counts) >= LOW * sum(n for n, _ in counts)
+    dense = [0, 0]
+    for b, (n, stops) in zip(long, counts, strict=True):
+        if not listed or stops >= HIGH * n:
+            dense[b.inside] += len(b.text)
+    # a page that marks its article says where the text is, unless most of its dense text is elsewhere, as beside teasers
+    article = any(b.inside and not b.out for b in found) and dense[1] >= dense[0]
     for b in found:
-        b.good = _first_pass(b, article)
+        b.good = _first_pass(b, article, listed)
     decided = [(i, b) for i, b in enumerate(found) if b.good is not None]
     labels = []
     k = 0
