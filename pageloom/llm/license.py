@@ -3,8 +3,8 @@
 The index is built on the driver from a fixed set of templates: for each template
 its highest-IDF words with their positions. A file's words are looked up in it;
 every hit at place p of a word that a template holds at place q proposes that the
-template starts at p - q. Proposals on which enough rare words agree by relative
-position are compared word by word, and count if the share of matching words
+template starts at p - q. Every distinct proposal, also of a single rare word,
+is compared word by word, and counts if the share of matching words
 reaches the threshold and every mandatory key phrase stands where it must.
 Everything happens inside a file's own row, so nothing is shuffled.
 """
