@@ -1,12 +1,13 @@
 """Personal data: candidate spans judged by boosted trees, in DataFrame operations only.
 
-High-recall generators propose spans, which may overlap, of eight kinds. Those of
+High-recall generators propose spans, which may overlap, of twelve kinds. Those of
 the four base kinds that pass their format checks are always selected. Every
-other candidate gets a score from boosted trees over format and context features
-and is selected if its calibrated probability reaches the threshold of its kind.
-The trees are fitted on the driver on a bounded set of synthetic labelled texts
-(``TRAINING_TEXTS`` of them, whatever the size of the corpus), whose features
-come from the very same expressions, and are applied as nested ``CASE`` columns.
+other candidate gets a score from boosted trees over format and context features.
+Isotonic regression on texts held out from the fitting turns scores of a kind into
+probabilities, and the score from which they reach ``PROBABILITY`` selects. The trees
+are fitted on the driver on a bounded set of synthetic texts (``TRAINING_TEXTS``
+of them, whatever the size of the corpus), labelled by how they were made, whose
+features come from the very same expressions, and are applied as one ``CASE`` sum.
 """
 
 from __future__ import annotations
@@ -20,35 +21,43 @@ from pyspark.sql import functions as F
 
 from .native import ascii_lower, indexes, let
 
+_MARK = r" ?[\[({{] ?{} ?[\])}}] ?"
 #: Generator patterns; each is linear in the text (possessive runs, bounded repeats).
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "at_dot_email": r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{1,64}+ ?[\[(]? ?at ?[\])]? [a-z0-9-]{1,63}+ ?[\[(]? ?dot ?[\])]? [a-z]{2,10}(?![a-z0-9])",
+    "at_dot_email": rf"(?i)(?<![a-z0-9._-])[a-z0-9._-]{{1,64}}+(?:{_MARK.format('at')}| at | ?@ | @)[a-z0-9-]{{1,63}}+(?:(?:{_MARK.format('dot')}| dot | ?[.] ?)[a-z0-9-]{{2,63}}+){{1,3}}+",
     "local_phone": r"(?<![0-9+(.-])(?<![0-9] )(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "secret": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}+",
+    "birth_date": r"(?<![0-9./-])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9/-])",
+    "address": r"(?<![0-9A-Za-z])[0-9]{1,5}[a-z]? (?:[A-Z][a-z]{1,20}+ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Way|Court|Ct|Place|Pl)(?![a-z])",
+    "ipv6": r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}:{1,2}[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}(?![0-9A-Za-z:])",
 }
 #: What a text must hold for a generator to be tried.
 QUICK = {
-    "email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "at_dot_email": r"(?i)[ \[(]dot[ \])]",
+    "email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "at_dot_email": r"(?i)[\[({] ?(?:at|dot) ?[\])}]|@|(?<= )dot ",
     "local_phone": "[0-9][ .-][0-9]{4}", "ssn": "[0-9]-[0-9]{2}-[0-9]", "iban": "[A-Z]{2}[0-9]{2}",
+    "secret": "[0-9][A-Za-z0-9+/_-]{7}|[A-Za-z0-9+/_-]{7}[0-9]|-----BEGIN", "birth_date": "[0-9][./-](?:19|20)?[0-9]{2}", "address": "[0-9][a-z]? [A-Z][a-z]+ [A-Z]", "ipv6": "[0-9A-Fa-f]:",
 }
 KINDS = list(PATTERNS)
 BASE = KINDS[:4]
 CUES = {
     "email": "mail|contact", "ip": r"\bip\b|address|host|server", "card": "card|visa|credit|payment", "phone": "phone|tel|call|fax|mobile",
     "at_dot_email": "mail|contact|write|reach", "local_phone": "phone|tel|call|fax|mobile", "ssn": "ssn|social", "iban": "iban|bank|account",
+    "secret": "token|secret|passw|pwd|api.?key|access.?key|private.?key|auth[ _=:-]|bearer|credential", "birth_date": "born|birth|dob|geboren|geburt|nacid|nacim|n[eé]e? le|naiss",
+    "address": "address|lives? |living|resid|located|ship to|deliver", "ipv6": r"\bip|address|host|server|peer",
 }
-COUNTER_CUES = r"version|section|chapter|order|item|part|invoice|serial|build|page|score|id\b|no\.|#|isbn|figure"
+COUNTER_CUES = r"\b(?:version|section|chapter|order|item|part|invoice|serial|build|page|score|isbn|figure|commit|checksum|sha-?[0-9]*|md5|hash|digest|published|updated|film|song|time|ratio|id|no\.)(?![a-z])|#"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 LEFT, RIGHT = 40, 20
 TRAINING_TEXTS, TREES, DEPTH, RATE, SEED = 4000, 30, 3, 0.3, 7
-#: Wanted share of true spans among those selected, from which the threshold of a kind is calibrated.
-PRECISION = 0.95
-FEATURES = ["kind", "valid", "length", "digits", "distinct", "cue", "counter_cue", "joined_left", "joined_right"]
+#: Calibrated probability of personal data from which a candidate is selected.
+PROBABILITY = 0.9
+FEATURES = ["kind", "valid", "length", "digits", "distinct", "letters", "cue", "counter_cue", "assigned", "joined_left", "joined_right"]
 
 
 def _prefix_sums(lengths: Column) -> Column:
@@ -92,10 +101,14 @@ def _valid(kind: str, match: Column) -> Column:
         "ip": match.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"),
         "card": (n >= 14) & (n <= 19) & _luhn(digits),
         "phone": (n >= 10) & (n <= 15),
-        "at_dot_email": match.rlike(r"(?i)[\[(] ?(?:at|dot)"),
+        "at_dot_email": match.rlike(r"(?i)[\[({] ?(?:at|dot)"),
         "local_phone": match.rlike(r"^\(?[2-9][0-9]{2}\)?[ .-]*[2-9]"),
         "ssn": ~match.rlike("^(?:000|666|9)") & ~match.rlike("-00-|-0000$"),
         "iban": _mod97(F.replace(match, F.lit(" "), F.lit(""))),
+        "secret": match.rlike("^(?:[0-9a-f]+|[0-9A-F]+|.*[a-z].*[A-Z].*|.*[A-Z].*[a-z].*)$") & ~match.rlike("[/_-].*[/_-]"),
+        "birth_date": match.rlike("^(?:0?[1-9]|[12][0-9]|3[01])[./-](?:0?[1-9]|[12][0-9]|3[01])[./-]|-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])$"),
+        "address": ~match.rlike("^0"),
+        "ipv6": match.rlike("::|^(?:[0-9A-Fa-f]+:){7}[0-9A-Fa-f]+$"),
     }[kind]
 
 
@@ -114,8 +127,9 @@ def _candidates(text: Column, kind: str) -> Column:
                     start.cast("int").alias("start"), (start + F.length(m)).cast("int").alias("end"), F.lit(KINDS.index(kind)).alias("kind"),
                     _valid(kind, m).cast("int").alias("valid"), F.length(m).alias("length"), F.length(digits).alias("digits"),
                     F.size(F.array_distinct(F.regexp_extract_all(digits, F.lit("[0-9]"), F.lit(0)))).alias("distinct"),
+                    F.size(F.array_distinct(F.regexp_extract_all(m, F.lit("[A-Za-z]"), F.lit(0)))).alias("letters"),
                     left.rlike(CUES[kind]).cast("int").alias("cue"), left.rlike(COUNTER_CUES).cast("int").alias("counter_cue"),
-                    before.rlike(r"[\p{L}\p{N}_/=-]\z").cast("int").alias("joined_left"), after.rlike(r"\A[\p{L}\p{N}_/=-]").cast("int").alias("joined_right"),
+                    before.rlike(r"""[=:]\s?["'`]?\z""").cast("int").alias("assigned"), before.rlike(r"[\p{L}\p{N}_/=-]\z").cast("int").alias("joined_left"), after.rlike(r"\A[\p{L}\p{N}_/=-]").cast("int").alias("joined_right"),
                 )
 
             return F.transform(indexes(F.size(found)), one)
@@ -134,55 +148,93 @@ def candidates(text: Column) -> Column:
     return F.concat(*(F.coalesce(_candidates(text, k).cast(kind), none) for k in KINDS))
 
 
+@cache
+def _candidate_column(session_id: str, text_col: str) -> Column:
+    """Built once for a session: some thousand calls to the JVM."""
+    return candidates(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def training_texts(n: int = TRAINING_TEXTS, seed: int = SEED) -> list[tuple[str, int]]:
-    """Synthetic texts with one span each and whether that is personal data."""
+    """Synthetic texts with one span each and whether that is personal data or a secret."""
     rng = random.Random(seed)
-    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-    filler = "the report of this plan was read and sent by them when we met".split()
+    pick = lambda k, of="0123456789": "".join(rng.choice(of) for _ in range(k))
+    filler = "the report of this plan was read and sent by them when we met dans une der und con los".split()
     words = lambda k: " ".join(rng.choice(filler) for _ in range(k))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    hexes, mixed = "0123456789abcdef", letters + letters.upper() + "0123456789"
+    named = lambda: rng.choice(letters).upper() + pick(rng.randint(3, 8), letters)
+    street = lambda: f"{rng.randint(1, 9999)} {' '.join(named() for _ in range(rng.randint(1, 2)))} {rng.choice(['Street', 'St', 'Avenue', 'Road', 'Lane', 'Drive', 'Way', 'Court'])}"
 
     def luhn(good: bool) -> str:
-        body = digits(15)
+        body = pick(15)
         total = sum(d if i % 2 else (2 * d - 9 * (d > 4)) for i, d in enumerate(map(int, body)))
         check = -total % 10
         return body + str(check if good else (check + rng.randint(1, 9)) % 10)
 
     def iban(good: bool) -> str:
-        body = digits(18)
+        body = pick(18)
         check = 98 - int(body + "131400") % 97
         return f"DE{check if good else (check + rng.randint(1, 60)) % 97:02d}{body}"
 
+    def key() -> str:
+        return rng.choice([lambda: pick(rng.choice([32, 40, 64]), hexes), lambda: "A1" + pick(rng.randint(18, 40), mixed), lambda: "b7" + pick(rng.randint(20, 44), mixed + "+/") + "="])()
+
+    def six() -> str:
+        groups = [pick(rng.randint(1, 4), hexes) for _ in range(8)]
+        return ":".join(groups) if rng.random() < 0.6 else ":".join(groups[:2]) + "::" + ":".join(groups[2 : rng.randint(3, 6)])
+
+    def date() -> str:
+        return rng.choice([f"{rng.randint(1, 28):02d}{{0}}{rng.randint(1, 12):02d}{{0}}{rng.randint(1930, 2015)}".format(rng.choice("./-")), f"{rng.randint(1930, 2015)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}"])
+
     people = {
-        "email": lambda: f"{rng.choice(filler)}.{digits(2)}@mail.example.org",
+        "email": lambda: f"{rng.choice(filler)}.{pick(2)}@mail.example.org",
         "ip": lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4)),
         "card": lambda: luhn(rng.random() < 0.9),
-        "phone": lambda: f"+1 ({digits(3)}) 555-{digits(4)}",
-        "at_dot_email": lambda: rng.choice(["{} [at] {} [dot] org", "{} at {} dot com", "{} (at) {} (dot) net"]).format(rng.choice(filler) + digits(1), rng.choice(filler)),
-        "local_phone": lambda: rng.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}"]).format("4" + digits(2), "5" + digits(2), digits(4)),
+        "phone": lambda: f"+1 ({pick(3)}) 555-{pick(4)}",
+        "at_dot_email": lambda: rng.choice(["{} [at] {} [dot] org", "{}[at]{}[dot]com", "{} at {} dot com", "{} (at) {} (dot) net", "{} [at] {}.org", "{} @ {}.com"]).format(rng.choice(filler) + pick(1), rng.choice(filler)),
+        "local_phone": lambda: rng.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}"]).format("4" + pick(2), "5" + pick(2), pick(4)),
         "ssn": lambda: f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}",
         "iban": lambda: iban(rng.random() < 0.9),
+        "secret": key,
+        "birth_date": date,
+        "address": street,
+        "ipv6": six,
     }
-    lead = {"email": "mail", "ip": "server", "card": "card", "phone": "call", "at_dot_email": "contact", "local_phone": "phone", "ssn": "ssn", "iban": "iban"}
+    leads = {
+        "email": ["mail: "], "ip": ["server: "], "card": ["card: ", "credit card "], "phone": ["call: ", "phone "], "at_dot_email": ["contact: ", "write to "], "local_phone": ["phone: ", "call "],
+        "ssn": ["ssn: ", "social security "], "iban": ["iban: ", "bank account "], "birth_date": ["born ", "date of birth: ", "dob "], "address": ["address: ", "lives at "], "ipv6": ["host ", "ip: "],
+        "secret": ['token = "', "api_key: ", "secret=", 'password: "', "bearer ", "access key ", 'auth_token="'],
+    }
+    cued = {"ssn": 0.9, "at_dot_email": 0.9, "local_phone": 0.9, "birth_date": 1.0, "secret": 1.0}
     others = [
         lambda: f"{rng.choice(['order', 'serial', 'invoice'])} {luhn(False)}",
         lambda: luhn(False),
-        lambda: f"version {rng.randint(256, 999)}.{digits(1)}.{digits(2)}.{digits(4)}",
-        lambda: f"{digits(4)}.{digits(3)}.{digits(1)}.{digits(3)}",
-        lambda: f"{rng.choice(['item', 'part', 'page'])} {digits(3)}-{digits(3)}-{digits(4)}",
-        lambda: f"{digits(3)} {digits(3)} {digits(4)}",
-        lambda: f"{rng.choice(['order', 'item'])} {digits(3)}-{digits(2)}-{digits(4)}",
-        lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        lambda: f"version {rng.randint(256, 999)}.{pick(1)}.{pick(2)}.{pick(4)}",
+        lambda: f"{pick(4)}.{pick(3)}.{pick(1)}.{pick(3)}",
+        lambda: f"{rng.choice(['item', 'part', 'page'])} {pick(3)}-{pick(3)}-{pick(4)}",
+        lambda: f"{pick(3)} {pick(3)} {pick(4)}",
+        lambda: f"{rng.choice(['order', 'item'])} {pick(3)}-{pick(2)}-{pick(4)}",
+        lambda: f"{pick(3)}-{pick(2)}-{pick(4)}",
         lambda: f"{rng.choice(filler)} at {rng.choice(filler)} dot {rng.choice(filler)}",
+        lambda: f"{rng.choice(filler)} at {rng.choice(filler)}. {rng.choice(filler)}",
         lambda: iban(False),
         lambda: f"serial {iban(False)}",
-        lambda: f"+{digits(1)} {digits(2)}-{digits(3)}",
+        lambda: f"+{pick(1)} {pick(2)}-{pick(3)}",
+        lambda: f"{rng.choice(['commit ', 'sha256 ', 'md5: ', 'checksum ', 'build ', ''])}{key()}",
+        lambda: f"token {rng.choice(filler)}_{rng.choice(filler)}-{rng.choice(filler)}_layer_{pick(2)}",
+        lambda: f"{rng.choice(filler)}-{rng.choice(filler)}-{rng.choice(filler)}-{rng.choice(filler)}-{pick(4)}",
+        lambda: f"/{rng.choice(filler)}/{rng.choice(filler)}/{pick(12, hexes)}/{rng.choice(filler)}",
+        lambda: f"{rng.choice(['published ', 'updated ', 'version ', 'order of ', ''])}{date()}",
+        lambda: f"{rng.choice(['chapter', 'section', 'part', 'film'])} {street()}",
+        lambda: f"{rng.choice(['at ', 'time ', 'ratio ', ''])}{pick(2)}:{pick(2)}:{pick(2)}",
+        lambda: f"{pick(2)}:{pick(2)}",
     ]
     out = []
     for _ in range(n):
         if rng.random() < 0.5:
             kind = rng.choice(KINDS)
-            cued = rng.random() < (0.9 if kind in ("ssn", "at_dot_email", "local_phone") else 0.5)
-            out.append((f"{words(4)} {lead[kind] + ': ' if cued else ''}{people[kind]()} {words(3)}", 1))
+            lead = rng.choice(leads[kind]) if rng.random() < cued.get(kind, 0.5) else ""
+            out.append((f"{words(4)} {lead}{people[kind]()}{lead[-1] if lead[-1:] == chr(34) else ''} {words(3)}", 1))
         else:
             out.append((f"{words(4)} {rng.choice(others)()} {words(3)}", 0))
     return out
@@ -232,9 +284,22 @@ def predict(model: list, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def calibrated(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic regression: distinct scores ascending and the probability of each, by pooling neighbours that fall."""
+    values, at = np.unique(score, return_inverse=True)
+    pools = [[float(w), float(m), 1] for w, m in zip(np.bincount(at), np.bincount(at, weights=label), strict=True)]
+    done: list[list[float]] = []
+    for pool in pools:
+        done.append(pool)
+        while len(done) > 1 and done[-2][1] * done[-1][0] >= done[-1][1] * done[-2][0]:
+            last = done.pop()
+            done[-1] = [x + y for x, y in zip(done[-1], last, strict=True)]
+    return values, np.repeat([m / w for w, m, _ in done], [int(k) for *_, k in done])
+
+
 @cache
 def _fitted(rows: tuple, trees: int, depth: int) -> tuple[list, tuple]:
-    """The trees from one half, thresholds by kind from the other half's scores."""
+    """The trees from one half; the least score of each kind whose probability, calibrated on the other half, suffices."""
     table = np.array(rows, np.int64)
     x, y = table[:, :-1], table[:, -1]
     held = np.arange(len(y)) % 2 == 1
@@ -242,20 +307,17 @@ def _fitted(rows: tuple, trees: int, depth: int) -> tuple[list, tuple]:
     score, limits = predict(model, x[held]), []
     for kind in range(len(KINDS)):
         own = x[held][:, 0] == kind
-        s, t = score[own], y[held][own]
-        order = np.argsort(-s, kind="stable")
-        right = np.cumsum(t[order]) / np.arange(1, len(order) + 1)
-        last_of_tie = np.append(s[order][1:] != s[order][:-1], True)
-        good = np.nonzero((right >= PRECISION) & last_of_tie)[0]
-        limits.append(float(s[order][good[-1]]) if len(good) else float("inf"))
+        values, p = calibrated(score[own], y[held][own]) if own.any() else (np.zeros(0), np.zeros(0))
+        good = values[p >= PROBABILITY]
+        limits.append(float(good[0]) - 1e-9 if len(good) else float("inf"))
     return model, tuple(limits)
 
 
 @cache
 def _training_rows(session_id: str, n: int, seed: int) -> tuple:
     spark = SparkSession.getActiveSession()
-    made = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(training_texts(n, seed))], "i int, text string, y int").coalesce(1)
-    rows = made.select("i", "y", F.explode(candidates(F.col("text"))).alias("c")).select("i", *(f"c.{f}" for f in FEATURES), "y").collect()
+    made = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(training_texts(n, seed))], "i int, text string, y int")
+    rows = made.select("i", "y", F.explode(_candidate_column(session_id, "text")).alias("c")).select("i", *(f"c.{f}" for f in FEATURES), "y").collect()
     return tuple(tuple(r)[1:] for r in sorted(rows))
 
 
@@ -264,41 +326,36 @@ def model(spark: SparkSession, n: int = TRAINING_TEXTS, seed: int = SEED) -> tup
     return _fitted(_training_rows(spark.sparkContext.applicationId, n, seed), TREES, DEPTH)
 
 
-def _score(trees: list, candidate: Column) -> Column:
-    def one(tree) -> Column:
+def _selected(trees: list, limits: tuple) -> str:
+    """SQL that tells whether candidate ``c`` is selected. As text it is parsed at once, whatever the number of trees."""
+
+    def one(tree) -> str:
         if not isinstance(tree, tuple):
-            return F.lit(tree)
-        return F.when(candidate[FEATURES[tree[0]]] <= tree[1], one(tree[2])).otherwise(one(tree[3]))
+            return f"{tree!r}D"
+        return f"CASE WHEN c.{FEATURES[tree[0]]} <= {tree[1]} THEN {one(tree[2])} ELSE {one(tree[3])} END"
+
+    limit = "CASE c.kind " + " ".join(f"WHEN {k} THEN {x!r}D" for k, x in enumerate(limits) if x != float("inf")) + " END"
+    return f"({_BASE_SQL}) OR coalesce({' + '.join(one(t) for t in trees)} >= {limit}, false)"
+
 
-    total = F.lit(0.0)
-    for tree in trees:
-        total = total + one(tree)
-    return total
+_BASE_SQL = f"c.kind < {len(BASE)} AND c.valid = 1"
 
 
 def spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with ``pii``, an array of (start, end, kind, base) sorted by start and kind.
 
-    Positions are code points, ends exclusive. A null text has an empty array;
-    repeated rows each have theirs; a column named ``pii`` is replaced; an empty
-    table gives an empty result.
+    Positions are code points, ends exclusive. Spans of different kinds may
+    overlap. A null text has an empty array; repeated rows each have theirs; a
+    column named ``pii`` is replaced; an empty table gives an empty result.
     """
     trees, limits = model(df.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    last_base = KINDS.index(BASE[-1])
-
-    def chosen(c: Column) -> Column:
-        limit = F.lit(float("inf"))
-        for i, x in enumerate(limits):
-            limit = F.when(c["kind"] == i, F.lit(x)).otherwise(limit)
-        return ((c["kind"] <= last_base) & (c["valid"] == 1)) | (_score(trees, c) >= limit)
-
-    def named(c: Column) -> Column:
-        return F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), ((c["kind"] <= last_base) & (c["valid"] == 1)).alias("base"))
-
-    picked = F.array_sort(F.transform(F.filter(candidates(text), chosen), named))
-    name = lambda k: F.element_at(F.array(*(F.lit(x) for x in KINDS)), k + 1)
-    return df.withColumn("pii", F.transform(picked, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), name(c["kind"]).alias("kind"), c["base"].alias("base"))))
+    names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
+    held = "__pii_candidates"
+    while held in df.columns:
+        held += "_"
+    picked = F.expr(f"transform(filter({held}, c -> {_selected(trees, limits)}), c -> struct(c.start AS start, c.kind AS kind, c.end AS end, {_BASE_SQL} AS base))")
+    named = df.withColumn(held, _candidate_column(df.sparkSession.sparkContext.applicationId, text_col)).withColumn("pii", F.array_sort(picked)).drop(held)
+    return named.withColumn("pii", F.expr(f"transform(pii, c -> struct(c.start AS start, c.end AS end, element_at({names}, c.kind + 1) AS kind, c.base AS base))"))
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
