@@ -4,12 +4,14 @@ Vectors become integers, floor(256 * x). Queries and candidates are dealt to
 blocks; each pair of a query block and a candidate block meets in one task. In a
 block every dimension is a list of its candidates sorted by value, which a query
 reads from the top where its own component is positive and from the bottom where
-it is negative, all lists equally deep. What has been read bounds every score
-from below (unread entries at the list's last value) and from above (unread
-entries at the value the list has reached). A query stops as soon as no outsider's
-upper bound reaches its k-th lower bound; the scores of the rest are then resolved
-exactly. A candidate block is skipped by the same rule when the best scores of
-blocks seen before already exceed all that it can hold.
+it is negative, in steps. Each round reads those lists on whose next step the
+query's bound for unseen candidates falls most. What has been read bounds every
+score from below (unread entries at their list's end) and from above (unread
+entries at the value where the list stands). Once no unseen candidate can reach
+the k-th lower bound, those seen are dropped as their upper bounds fall below it,
+and the scores of the few that are left are resolved exactly. The k-th best score
+of the blocks before is a lower bound from the start, so a later block is often
+left early, or without being read.
 """
 
 from __future__ import annotations
@@ -24,10 +26,13 @@ from ..shipping import ship
 from .common import checkpoint
 
 K, SCALE, EVERY = 5, 256, 50
-#: Rows of a query block and of a candidate block; the lists are built on runs of LIST_ROWS candidates.
-QUERY_BLOCK, CANDIDATE_BLOCK, LIST_ROWS = 8192, 16384, 4096
-#: Shares of the lists read before the bounds are looked at again.
-DEPTHS = (1 / 16, 1 / 4)
+#: Rows of a query block and of a candidate block; lists are built on runs of LIST_ROWS candidates, the
+#: first on FIRST_ROWS, which soon gives the others a lower bound.
+QUERY_BLOCK, CANDIDATE_BLOCK, FIRST_ROWS, LIST_ROWS = 16384, 8192, 1024, 8192
+#: A list is read in so many steps, at least LEAST_STEP entries each; bounds of seen candidates are compared every CHECK rounds.
+STEPS, LEAST_STEP, CHECK = 16, 8, 3
+#: Range of the scores that are returned.
+LEAST_SCORE, MOST_SCORE = -(2**63), 2**63 - 1
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -40,107 +45,135 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def _product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return q @ x.T
-
-
-def best_of_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray, depths=DEPTHS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query row, candidate row, score) of all that may be among the k best. ``floor``: a score that k candidates reach already, per query."""
-    n, dims = vectors.shape
-    order = np.argsort(vectors, axis=0, kind="stable")
-    lists = np.take_along_axis(vectors, order, axis=0)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.broadcast_to(np.arange(n)[:, None], order.shape), axis=0)
-    up, down = np.maximum(queries, 0.0), np.minimum(queries, 0.0)
-    low_end, high_end = lists[0], lists[-1]
-    live = np.nonzero(up @ high_end + down @ low_end >= floor)[0]  # depth 0: what the block can hold at most
-    out = []
-    for depth in depths:
-        read = int(n * depth)
-        if not len(live) or read < 1:
-            continue
-        top, bottom = place >= n - read, place < read
-        p, m = up[live], down[live]
-        upper = _product(p, np.where(top, vectors, lists[n - read])) + _product(m, np.where(bottom, vectors, lists[read - 1]))
-        lower = _product(p, np.where(top, vectors, low_end)) + _product(m, np.where(bottom, vectors, high_end))
-        lower[query_ids[live][:, None] == ids[None, :]] = -np.inf
-        kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(live), -np.inf)
-        kth = np.maximum(kth, floor[live])
-        able = upper >= kth[:, None]
-        done = able.sum(axis=1) <= max(4 * k, n // 64)  # few enough finalists to resolve
-        for i in np.nonzero(done)[0]:
-            rows = np.nonzero(able[i])[0]
-            out.append((np.full(len(rows), live[i]), rows, vectors[rows] @ queries[live[i]]))
-        live = live[~done]
-    if len(live):  # read to the end: both bounds are the score
-        scores = _product(queries[live], vectors)
-        scores[query_ids[live][:, None] == ids[None, :]] = -np.inf
-        kth = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(live), -np.inf)
-        a, b = np.nonzero((scores >= np.maximum(kth, floor[live])[:, None]) & (scores > -np.inf))
-        out.append((live[a], b, scores[a, b]))
-    return out
-
-
-def _exact(queries: np.ndarray, vectors: np.ndarray) -> bool:
-    widest = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(1, vectors.shape[1])
-    return widest < 2**53
-
-
-def _search(k: int, id_type: str):
+def _reachable(score: float) -> float:
+    """A lower bound for scores that end at the range of a long: all beyond it tie."""
+    return -np.inf if score <= LEAST_SCORE else min(float(score), float(MOST_SCORE))
+
+
+class Lists:
+    """The sorted lists of a run of candidates, one for each dimension."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
+        self.vectors, self.ids = vectors, ids
+        self.n, self.dims = vectors.shape
+        self.order = np.argsort(vectors.T, axis=1, kind="stable").astype(np.int32)
+        self.values = np.take_along_axis(np.ascontiguousarray(vectors.T), self.order, axis=1)
+        self.place = np.empty((self.n, self.dims), np.int32)
+        for d in range(self.dims):
+            self.place[self.order[d], d] = np.arange(self.n)
+        self.widest = float(np.abs(vectors).max(initial=0.0))
+
+    def resolve(self, query: np.ndarray, rows: np.ndarray) -> list[int]:
+        """Exact scores, those beyond a long as its nearest end."""
+        if float(np.abs(query).max(initial=0.0)) * self.widest * max(1, self.dims) < 2**53:
+            return [int(v) for v in self.vectors[rows] @ query]
+        whole = [int(v) for v in query]
+        return [min(max(sum(a * int(b) for a, b in zip(whole, self.vectors[r], strict=True)), LEAST_SCORE), MOST_SCORE) for r in rows]
+
+    def best(self, query: np.ndarray, query_id: int, k: int, floor: float) -> tuple[np.ndarray, list[int], int]:
+        """Rows that may be among the k best, their scores, and the list entries read. ``floor``: a score that k others reach already."""
+        n = self.n
+        used = np.nonzero(query)[0]
+        q, up = query[used], query[used] > 0
+        end = np.where(up, n - 1, 0)
+        low = q * self.values[used, n - 1 - end]  # the least a list can add
+        stand = q * self.values[used, end]  # the most an unread entry of it can add
+        # sums that doubles do not hold exactly may be off by so much
+        widest = float(np.abs(q).max(initial=0.0)) * self.widest * max(1, len(q))
+        slack = 0.0 if widest < 2**53 else widest * 2.0**-40
+        own = self.ids == query_id
+        bottom = low.sum()
+        lower = np.full(n, bottom)
+        lower[own] = -np.inf
+        others = n - int(own.sum())
+        depth = np.zeros(len(used), np.int64)
+        step = max(LEAST_STEP, -(-n // STEPS))
+        alive, kth = None, _reachable(floor)
+        most = max(8 * k, n // 128)
+        rounds = 0
+        while True:
+            ended = bool((depth == n).all())
+            fresh = alive is None and (ended or stand.sum() + slack < kth)
+            if fresh:  # no unseen candidate can qualify any more
+                alive = np.nonzero(~own if ended else (lower > bottom) & ~own)[0]
+            if alive is not None and (fresh or ended or rounds % CHECK == 0):
+                spot = self.place[alive][:, used]
+                unseen = np.where(up, spot < n - depth, spot >= depth)
+                alive = alive[lower[alive] + unseen @ (stand - low) + slack >= kth]
+                if len(alive) <= most or ended:
+                    return alive, self.resolve(query, alive), int(depth.sum())
+            after = np.minimum(depth + step, n)
+            spot = np.minimum(after, n - 1)
+            falls = np.where(after == n, low, q * self.values[used, np.where(up, n - 1 - spot, spot)])
+            gain = np.where(depth < n, stand - falls, -1.0)
+            for j in np.nonzero((gain >= np.median(gain[depth < n])) & (depth < n))[0]:
+                d, a, b = used[j], int(depth[j]), int(after[j])
+                part = slice(n - b, n - a) if up[j] else slice(a, b)
+                lower[self.order[d, part]] += q[j] * self.values[d, part] - low[j]
+                depth[j], stand[j] = b, falls[j]
+            rounds += 1
+            if others >= k and rounds % CHECK == 0:
+                kth = max(kth, _reachable(float(np.partition(lower, n - k)[n - k]) - slack))
+
+
+def runs(n: int) -> list[tuple[int, int]]:
+    starts = [0, *range(FIRST_ROWS, n, LIST_ROWS)]
+    return list(zip(starts, [*starts[1:], n], strict=True))
+
+
+def _search(k: int):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        kept = {"query_id": [], "vec_id": [], "score": []}
+        out: list[tuple[int, int, int]] = []
         if left.num_rows and right.num_rows:
             q, x = _matrix(left.column("v")), _matrix(right.column("v"))
             dims = max(q.shape[1], x.shape[1])
             q, x = np.pad(q, ((0, 0), (0, dims - q.shape[1]))), np.pad(x, ((0, 0), (0, dims - x.shape[1])))
             qid, xid = left.column("id").to_numpy(), right.column("id").to_numpy()
-            if not _exact(q, x):
-                raise ArithmeticError("components are too large for exact integer products")
-            held: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            floor = np.full(len(q), -np.inf)
-            for at in range(0, len(x), LIST_ROWS):
-                found = best_of_block(q, qid, x[at : at + LIST_ROWS], xid[at : at + LIST_ROWS], k, floor)
-                a, b, s = (np.concatenate([h, *(f[i] for f in found)]) if found else h for i, h in enumerate((held[0], held[1] - at, held[2])))
-                a, b = a.astype(np.int64), b.astype(np.int64) + at
-                real = qid[a] != xid[b]
-                a, b, s = a[real], b[real], s[real]
-                sort = np.lexsort([xid[b], -s, a])
-                a, b, s = a[sort], b[sort], s[sort]
-                rank = np.arange(len(a)) - np.searchsorted(a, a)
-                held = (a[rank < k], b[rank < k], s[rank < k])
-                full = np.nonzero(np.append(held[0][1:] != held[0][:-1], True) & (np.arange(len(held[0])) - np.searchsorted(held[0], held[0]) == k - 1))[0] if len(held[0]) else []
-                floor[held[0][full]] = held[2][full]
-            kept = {"query_id": qid[held[0]], "vec_id": xid[held[1]], "score": held[2].astype(np.int64)}
-        return pa.table({"query_id": pa.array(kept["query_id"], pa.int64()), "vec_id": pa.array(kept["vec_id"], pa.int64()), "score": pa.array(kept["score"], pa.int64())})
+            held: list[list[tuple[int, int]]] = [[] for _ in qid]  # (score descending, id), k best so far of each query
+            for at, upto in runs(len(x)):
+                lists = Lists(x[at:upto], xid[at:upto])
+                for i, asked in enumerate(qid):
+                    floor = -held[i][k - 1][0] if len(held[i]) == k else -np.inf
+                    rows, scores, _ = lists.best(q[i], asked, k, floor)
+                    held[i] = sorted([*held[i], *((-s, int(lists.ids[r])) for r, s in zip(rows, scores, strict=True))])[:k]
+            out = [(int(asked), found, -score) for asked, best in zip(qid, held, strict=True) for score, found in best]
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.table({name: pa.array(column, pa.int64()) for name, column in zip(("query_id", "vec_id", "score"), columns, strict=True)})
 
     return run
 
 
 def usable(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """``(id, v)`` of the rows whose id and vector are whole, components as floor(scale * x)."""
+    """``(id, v)`` of the rows whose id and vector are whole, components as floor(scale * x) in doubles, which from 2**52 on are integers as they are."""
     x = F.col(vector_col)
-    whole = x.isNotNull() & F.col(id_col).isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double")) == float("inf")))
-    return df.filter(whole).select(F.col(id_col).cast("bigint").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("double")).alias("v"))
+    scaled = lambda e: e.cast("double") * scale
+    whole = x.isNotNull() & F.col(id_col).isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(scaled(e)) | (F.abs(scaled(e)) == float("inf")))
+    integer = lambda y: F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)
+    return df.filter(whole).select(F.col(id_col).cast("bigint").alias("id"), F.transform(x, lambda e: integer(scaled(e))).alias("v"))
 
 
 def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = EVERY) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row whose id ``every`` divides, its k best others.
 
     Ties go to the smaller id; a query with fewer than k others has them all.
-    Vectors that are null or hold null or non-finite components, and rows without
-    an id, take no part; shorter vectors count as filled with zeros. Rows repeating
-    an id stay candidates each, and a query's own id is never among its results.
-    Components so large that a product could pass 2**53 raise an error.
+    Vectors that are null or hold null or non-finite components (also once they
+    are scaled), and rows without an id, take no part; shorter vectors count as
+    filled with zeros. Rows repeating an id stay candidates each, and a query's own
+    id is never among its results; of several rows with a query's id the one with
+    the smallest vector asks. Products are exact at any size; scores beyond a long
+    are given and ranked as its nearest end.
     """
     ship(df.sparkSession)
     rows = checkpoint(usable(df, id_col, vector_col))
-    queries = rows.filter(F.col("id") % every == 0).dropDuplicates(["id"])
+    queries = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     n_queries, n_rows = queries.count(), rows.count()
     qb, xb = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_rows // CANDIDATE_BLOCK))
-    # every block of queries meets every block of candidates once; rows are dealt by their id, whatever their vector
+    # every block of queries meets every block of candidates once; candidates are dealt by their place in
+    # the stored table, so that rows repeating an id or a vector spread like any others
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(qb)).cast("int")).withColumn("x", each(xb))
-    offered = rows.withColumn("x", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(xb)).cast("int")).withColumn("q", each(qb))
-    found = asked.groupBy("q", "x").cogroup(offered.groupBy("q", "x")).applyInArrow(_search(k, "bigint"), "query_id bigint, vec_id bigint, score bigint")
+    placed = rows.withColumn("at", F.monotonically_increasing_id())
+    offered = placed.withColumn("x", F.pmod(F.xxhash64("at"), F.lit(xb)).cast("int")).drop("at").withColumn("q", each(qb))
+    found = asked.groupBy("q", "x").cogroup(offered.groupBy("q", "x")).applyInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
     best = W.Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
