@@ -28,9 +28,11 @@ from .common import checkpoint
 K, SCALE, EVERY = 5, 256, 50
 #: Rows of a query block and of a candidate block; lists are built on runs of LIST_ROWS candidates, the
 #: first on FIRST_ROWS, which soon gives the others a lower bound.
-QUERY_BLOCK, CANDIDATE_BLOCK, FIRST_ROWS, LIST_ROWS = 16384, 8192, 1024, 8192
+QUERY_BLOCK, CANDIDATE_BLOCK, FIRST_ROWS, LIST_ROWS = 4096, 16384, 1024, 16384
 #: A list is read in so many steps, at least LEAST_STEP entries each; bounds of seen candidates are compared every CHECK rounds.
-STEPS, LEAST_STEP, CHECK = 16, 8, 3
+STEPS, LEAST_STEP, CHECK = 16, 8, 2
+#: Candidates are resolved once so small a part of a list may still qualify: their products cost less than reading on.
+FINALISTS = 8
 #: Range of the scores that are returned.
 LEAST_SCORE, MOST_SCORE = -(2**63), 2**63 - 1
 
@@ -56,61 +58,67 @@ class Lists:
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
         self.vectors, self.ids = vectors, ids
         self.n, self.dims = vectors.shape
-        self.order = np.argsort(vectors.T, axis=1, kind="stable").astype(np.int32)
+        self.order = np.argsort(vectors.T, axis=1, kind="stable")
         self.values = np.take_along_axis(np.ascontiguousarray(vectors.T), self.order, axis=1)
-        self.place = np.empty((self.n, self.dims), np.int32)
+        self.place = np.empty((self.n, self.dims), np.int16 if self.n < 2**15 else np.int32)
         for d in range(self.dims):
             self.place[self.order[d], d] = np.arange(self.n)
         self.widest = float(np.abs(vectors).max(initial=0.0))
 
-    def resolve(self, query: np.ndarray, rows: np.ndarray) -> list[int]:
-        """Exact scores, those beyond a long as its nearest end."""
+    def resolve(self, query: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """(score descending, id) of the k best of ``rows``, exact; scores beyond a long as its nearest end."""
         if float(np.abs(query).max(initial=0.0)) * self.widest * max(1, self.dims) < 2**53:
-            return [int(v) for v in self.vectors[rows] @ query]
+            scores = self.vectors[rows] @ query
+            if len(rows) > k:
+                good = scores >= np.partition(scores, len(rows) - k)[len(rows) - k]
+                rows, scores = rows[good], scores[good]
+            return sorted(zip((-scores).astype(np.int64).tolist(), self.ids[rows].tolist(), strict=True))[:k]
         whole = [int(v) for v in query]
-        return [min(max(sum(a * int(b) for a, b in zip(whole, self.vectors[r], strict=True)), LEAST_SCORE), MOST_SCORE) for r in rows]
+        exact = (min(max(sum(a * int(b) for a, b in zip(whole, self.vectors[r], strict=True)), LEAST_SCORE), MOST_SCORE) for r in rows)
+        return sorted(zip((-s for s in exact), self.ids[rows].tolist(), strict=True))[:k]
 
-    def best(self, query: np.ndarray, query_id: int, k: int, floor: float) -> tuple[np.ndarray, list[int], int]:
-        """Rows that may be among the k best, their scores, and the list entries read. ``floor``: a score that k others reach already."""
-        n = self.n
-        used = np.nonzero(query)[0]
-        q, up = query[used], query[used] > 0
+    def best(self, query: np.ndarray, query_id: int, k: int, floor: float) -> tuple[list[tuple[int, int]], int]:
+        """The k best that may exceed the floor, as of ``resolve``, and the list entries read. ``floor``: a score that k others reach already."""
+        n, up = self.n, query >= 0
         end = np.where(up, n - 1, 0)
-        low = q * self.values[used, n - 1 - end]  # the least a list can add
-        stand = q * self.values[used, end]  # the most an unread entry of it can add
+        all_lists = np.arange(self.dims)
+        low = query * self.values[all_lists, n - 1 - end]  # the least a list can add
+        stand = query * self.values[all_lists, end]  # the most an unread entry of it can add
         # sums that doubles do not hold exactly may be off by so much
-        widest = float(np.abs(q).max(initial=0.0)) * self.widest * max(1, len(q))
+        widest = float(np.abs(query).max(initial=0.0)) * self.widest * max(1, self.dims)
         slack = 0.0 if widest < 2**53 else widest * 2.0**-40
+        narrow = np.float32 if widest < 2**23 else np.float64
         own = self.ids == query_id
+        others = n - int(own.sum())
         bottom = low.sum()
         lower = np.full(n, bottom)
         lower[own] = -np.inf
-        others = n - int(own.sum())
-        depth = np.zeros(len(used), np.int64)
+        depth = np.where(query == 0, n, 0)  # nothing to read for a component of zero
         step = max(LEAST_STEP, -(-n // STEPS))
-        alive, kth = None, _reachable(floor)
-        most = max(8 * k, n // 128)
+        outside, kth = True, _reachable(floor)
+        most = max(8 * k, n // FINALISTS)
         rounds = 0
         while True:
             ended = bool((depth == n).all())
-            fresh = alive is None and (ended or stand.sum() + slack < kth)
-            if fresh:  # no unseen candidate can qualify any more
-                alive = np.nonzero(~own if ended else (lower > bottom) & ~own)[0]
-            if alive is not None and (fresh or ended or rounds % CHECK == 0):
-                spot = self.place[alive][:, used]
-                unseen = np.where(up, spot < n - depth, spot >= depth)
-                alive = alive[lower[alive] + unseen @ (stand - low) + slack >= kth]
+            # once no unseen candidate can qualify any more, those seen are held against their own upper bounds
+            if outside and (ended or stand.sum() + slack < kth):
+                outside, rounds = False, 0
+            if not outside and (ended or rounds % CHECK == 0):
+                rest = np.where(up, stand - low, low - stand)
+                below = self.place < np.where(up, n - depth, depth).astype(np.int32)
+                upper = lower + below.astype(narrow) @ rest.astype(narrow) - rest[~up].sum()
+                alive = np.nonzero((upper + slack >= kth) & ~own)[0]
                 if len(alive) <= most or ended:
-                    return alive, self.resolve(query, alive), int(depth.sum())
+                    return self.resolve(query, alive, k), int(depth[query != 0].sum())
             after = np.minimum(depth + step, n)
             spot = np.minimum(after, n - 1)
-            falls = np.where(after == n, low, q * self.values[used, np.where(up, n - 1 - spot, spot)])
+            falls = np.where(after == n, low, query * self.values[all_lists, np.where(up, n - 1 - spot, spot)])
             gain = np.where(depth < n, stand - falls, -1.0)
-            for j in np.nonzero((gain >= np.median(gain[depth < n])) & (depth < n))[0]:
-                d, a, b = used[j], int(depth[j]), int(after[j])
-                part = slice(n - b, n - a) if up[j] else slice(a, b)
-                lower[self.order[d, part]] += q[j] * self.values[d, part] - low[j]
-                depth[j], stand[j] = b, falls[j]
+            for d in np.nonzero((gain >= np.median(gain[depth < n])) & (depth < n))[0]:
+                a, b = int(depth[d]), int(after[d])
+                part = slice(n - b, n - a) if up[d] else slice(a, b)
+                lower[self.order[d, part]] += query[d] * self.values[d, part] - low[d]
+                depth[d], stand[d] = b, falls[d]
             rounds += 1
             if others >= k and rounds % CHECK == 0:
                 kth = max(kth, _reachable(float(np.partition(lower, n - k)[n - k]) - slack))
@@ -134,8 +142,7 @@ def _search(k: int):
                 lists = Lists(x[at:upto], xid[at:upto])
                 for i, asked in enumerate(qid):
                     floor = -held[i][k - 1][0] if len(held[i]) == k else -np.inf
-                    rows, scores, _ = lists.best(q[i], asked, k, floor)
-                    held[i] = sorted([*held[i], *((-s, int(lists.ids[r])) for r, s in zip(rows, scores, strict=True))])[:k]
+                    held[i] = sorted(held[i] + lists.best(q[i], asked, k, floor)[0])[:k]
             out = [(int(asked), found, -score) for asked, best in zip(qid, held, strict=True) for score, found in best]
         columns = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({name: pa.array(column, pa.int64()) for name, column in zip(("query_id", "vec_id", "score"), columns, strict=True)})
