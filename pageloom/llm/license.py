@@ -1,17 +1,21 @@
 """Licence scans by a positional rare-token index, in DataFrame operations only.
 
-The index is built on the driver from a fixed set of templates: for each template
-its highest-IDF words with their positions. A file's words are looked up in it;
-every hit at place p of a word that a template holds at place q proposes that the
-template starts at p - q. Every distinct proposal, also of a single rare word,
-is compared word by word, and counts if the share of matching words
-reaches the threshold and every mandatory key phrase stands where it must.
-Everything happens inside a file's own row, so nothing is shuffled.
+The index is built on the driver from a fixed set of templates, short references
+and whole licence texts: for each template the words of highest IDF in its
+mandatory phrases, with their positions. A file's words are looked up in it; a
+hit at place p of a word that a template holds at place q posts the start p - q for
+that template. The postings of a template are then intersected: only a start that
+all its rare words post goes on. It is compared word by word and counts if
+the share of matching words reaches the threshold and every mandatory key phrase
+stands where it must. As the rare words lie in those phrases, the intersection loses
+no place. Everything happens inside a file's own row, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -35,16 +39,45 @@ class Template:
 
 
 def template(label: str, text: str, *phrases: str, base: bool = False) -> Template:
-    all_words = tuple(text.split())
+    all_words = tuple(w for w in re.split(SEPARATORS, text.lower()) if w)
     spans = []
     for phrase in phrases or (text,):
-        own = tuple(phrase.split())
+        own = tuple(w for w in re.split(SEPARATORS, phrase.lower()) if w)
         at = next(i for i in range(len(all_words)) if all_words[i : i + len(own)] == own)
         spans.append((at, at + len(own)))
     return Template(label, all_words, tuple(spans), base)
 
 
-# Opening words of public licences and their customary references.
+# The texts of public licences and of their customary notices.
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
+permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH
+THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
+and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE
+USE OR PERFORMANCE OF THIS SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions
+of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of
+this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject
+to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the
+License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under
+the License."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
+http://mozilla.org/MPL/2.0/."""
+UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
+software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
 TEMPLATES = (
     template("mit", "mit license", base=True),
     template("apache", "apache license", base=True),
@@ -64,6 +97,14 @@ TEMPLATES = (
     template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
     template("mpl", "mozilla public license version 2 0", "mozilla public license"),
     template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    template("apache", APACHE, "apache license", "required by applicable law"),
+    template("bsd", BSD, "redistribution and use in source and binary forms", "this list of conditions and the following disclaimer"),
+    template("gpl", GPL, "under the terms of the gnu general public license", "free software foundation"),
+    template("isc", ISC, "permission to use copy modify", "the author disclaims all warranties"),
+    template("mit", MIT, "permission is hereby granted free of charge", "without warranty of any kind"),
+    template("mpl", MPL, "mozilla public license"),
+    template("unlicense", UNLICENSE, "free and unencumbered software"),
+    template("zlib", ZLIB, "must not be misrepresented"),
 )
 
 
@@ -73,18 +114,20 @@ def idf(templates=TEMPLATES) -> dict[str, float]:
 
 
 def anchors(t: Template, weight: dict[str, float], most: int = ANCHORS) -> list[tuple[str, int]]:
-    """The places of the template's highest-IDF words, inside mandatory phrases first."""
-    inside = {i for a, b in t.mandatory for i in range(a, b)}
-    order = sorted(range(len(t.words)), key=lambda i: (i not in inside, -weight[t.words[i]], i))
-    return [(t.words[i], i) for i in order[:most]]
+    """The places of the highest-IDF words in the template's mandatory phrases."""
+    inside = sorted({i for a, b in t.mandatory for i in range(a, b)}, key=lambda i: (-weight[t.words[i]], i))
+    return [(t.words[i], i) for i in inside[:most]]
 
 
-def _postings(templates) -> dict[str, list[tuple[int, int]]]:
-    weight, out = idf(templates), {}
+def _postings(templates) -> tuple[dict[str, list[dict]], list[int]]:
+    """Word -> places (template, at), and for each template how many words must agree on a start."""
+    weight, out, need = idf(templates), {}, []
     for k, t in enumerate(templates):
-        for word, at in anchors(t, weight, 1 if t.base else ANCHORS):
-            out.setdefault(word, []).append((k, at))
-    return out
+        own = anchors(t, weight)
+        need.append(len(own))
+        for word, at in own:
+            out.setdefault(word, []).append({"template": k, "at": at})
+    return out, need
 
 
 def _gate(templates) -> str:
@@ -96,20 +139,22 @@ def _gate(templates) -> str:
 
 def _found(text: Column, templates) -> Column:
     """Array of (template, start, share) of all verified places, for a text that passed the gate."""
-    postings = _postings(templates)
-    none = F.array().cast("array<struct<template:int,start:int>>")
+    postings, need = _postings(templates)
+    index = F.from_json(F.lit(json.dumps(postings)), "map<string,array<struct<template:int,at:int>>>")
+    needed = F.array(*(F.lit(n) for n in need))
 
     def proposals(w: Column) -> Column:
-        def of(i: Column) -> Column:
-            word = F.get(w, i)
-            out = none
-            for rare, places in postings.items():
-                made = F.array(*(F.struct(F.lit(k).alias("template"), (i - at).cast("int").alias("start")) for k, at in places))
-                out = F.when(word == rare, made).otherwise(out)
-            return out
+        def posted(i: Column) -> Column:
+            return F.transform(F.try_element_at(index, F.get(w, i)), lambda p: F.struct(p["template"].alias("template"), (i - p["at"]).alias("start")))
+
+        def intersected(p: Column) -> Column:
+            """The first of as many equal entries as the template has rare words."""
+            first = lambda x, i: ~F.coalesce(F.get(p, i - 1) == x, F.lit(False))
+            whole = lambda x, i: F.coalesce(F.get(p, i + F.get(needed, x["template"]) - 1) == x, F.lit(False))
+            return F.filter(p, lambda x, i: first(x, i) & whole(x, i))
 
         hits = F.filter(indexes(F.size(w)), lambda i: F.get(w, i).isin(*postings))
-        return F.array_distinct(F.flatten(F.transform(hits, of)))
+        return let(F.sort_array(F.flatten(F.transform(hits, posted))), intersected)
 
     rows = lambda make: F.array(*(F.array(*(F.lit(v) for v in make(t))) for t in templates))
     own_words, must = rows(lambda t: t.words), rows(lambda t: [any(a <= i < b for a, b in t.mandatory) for i in range(len(t.words))])

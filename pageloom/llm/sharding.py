@@ -1,8 +1,8 @@
 """Sharding by fixed virtual slots, in DataFrame operations only.
 
 Records hash into ``SLOTS`` slots. The bytes of each slot are aggregated, and a
-versioned map says which shard a slot lies in. Rebalancing edits that map, moving
-few slots; records never change their slot. The map and the slots' totals have
+versioned map in a store says which shard a slot lies in. Rebalancing edits the
+latest version, moving few slots, and adds the next; records never change their slot. The map and the slots' totals have
 ``SLOTS`` rows whatever the number of records, so they may be collected and
 broadcast.
 """
@@ -10,8 +10,10 @@ broadcast.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -53,8 +55,6 @@ class SlotMap:
             if best * 4 > gap:  # no single slot comes near: two that differ by about half the gap trade places
                 theirs = sorted(held[least], key=weights.__getitem__)
                 values = [weights[s] for s in theirs]
-                from bisect import bisect_left
-
                 for slot in held[most]:
                     at = bisect_left(values, weights[slot] - gap / 2)
                     for k in (at - 1, at):
@@ -75,18 +75,47 @@ class SlotMap:
         return bigger.rebalanced(weights)
 
     def rows(self, spark: SparkSession) -> DataFrame:
-        """``(version, slot, shard)``."""
+        """``(version, shards, slot, shard)``."""
         owners = F.from_json(F.lit(json.dumps(self.owner)), "array<int>")
-        return spark.range(len(self.owner)).select(F.lit(self.version).alias("version"), F.col("id").cast("int").alias("slot"), F.get(owners, F.col("id").cast("int")).alias("shard"))
+        return spark.range(len(self.owner)).select(F.lit(self.version).alias("version"), F.lit(self.shards).alias("shards"), F.col("id").cast("int").alias("slot"), F.get(owners, F.col("id").cast("int")).alias("shard"))
 
     def save(self, spark: SparkSession, store: str) -> None:
-        """Add this version to the store; versions already there stay."""
-        self.rows(spark).coalesce(1).write.mode("overwrite").parquet(f"{store}/version={self.version}")
+        """Add this version to the store; one that is already there is an error and stays as it is."""
+        self.rows(spark).drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{store}/version={self.version}")
 
     @classmethod
     def load(cls, spark: SparkSession, store: str, version: int) -> SlotMap:
-        rows = sorted((r["slot"], r["shard"]) for r in spark.read.parquet(f"{store}/version={version}").collect())
-        return cls(version, max(s for _, s in rows) + 1, tuple(s for _, s in rows))
+        rows = sorted((r["slot"], r["shard"], r["shards"]) for r in spark.read.parquet(f"{store}/version={version}").collect())
+        return cls(version, rows[0][2], tuple(s for _, s, _ in rows))
+
+    @classmethod
+    def latest(cls, spark: SparkSession, store: str) -> SlotMap | None:
+        """The highest version in the store; None if it has none."""
+        try:
+            versions = spark.read.parquet(store).agg(F.max("version")).first()[0]
+        except AnalysisException as error:
+            if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+        return None if versions is None else cls.load(spark, store, int(versions))
+
+
+def maintained(spark: SparkSession, store: str, weights: list[int], shards: int) -> SlotMap:
+    """The map to use: the latest of the store, grown to ``shards`` and rebalanced. What changed is saved as further versions."""
+    now = SlotMap.latest(spark, store)
+    if now is None:
+        now = SlotMap.initial(len(weights), shards)
+        now.save(spark, store)
+    if len(now.owner) != len(weights) or now.shards > shards:
+        raise ValueError(f"the store has {len(now.owner)} slots in {now.shards} shards; slots are fixed and shards only grow")
+    while now.shards < shards:
+        now = now.grown(weights)
+        now.save(spark, store)
+    after = now.rebalanced(weights)
+    if after.owner == now.owner:
+        return now
+    after.save(spark, store)
+    return SlotMap.load(spark, store, after.version)
 
 
 def text_size(text: Column) -> Column:
@@ -125,11 +154,10 @@ def shard(df: DataFrame, store: str, id_col: str = "doc_id", text_col: str = "te
     Null texts count no bytes, and every row one more than its bytes. Rows that
     repeat an id and a text share a virtual slot but have places of their own;
     null ids hash by their text; other columns are not read; an empty table gives
-    an empty result. ``store`` gets the initial map and the rebalanced version.
+    an empty result. The map is the latest of ``store``, or an even one if it has
+    none, rebalanced for the bytes of ``df``; each change adds a version. A map of
+    other slots, or of more shards than asked for, raises an error.
     """
     spark = df.sparkSession
     rows = checkpoint(slotted(df, id_col, text_col, slots))
-    first = SlotMap.initial(slots, shards)
-    first.save(spark, store)
-    first.rebalanced(slot_weights(rows, slots)).save(spark, store)
-    return place(rows, SlotMap.load(spark, store, 1), id_col)
+    return place(rows, maintained(spark, store, slot_weights(rows, slots), shards), id_col)
