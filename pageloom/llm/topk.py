@@ -28,9 +28,9 @@ from .common import checkpoint
 K, SCALE, EVERY = 5, 256, 50
 #: Rows of a query block and of a candidate block; lists are built on runs of LIST_ROWS candidates, the
 #: first on FIRST_ROWS, which soon gives the others a lower bound.
-QUERY_BLOCK, CANDIDATE_BLOCK, FIRST_ROWS, LIST_ROWS = 4096, 16384, 1024, 16384
+QUERY_BLOCK, CANDIDATE_BLOCK, FIRST_ROWS, LIST_ROWS = 512, 32768, 1024, 16384
 #: A list is read in so many steps, at least LEAST_STEP entries each; bounds of seen candidates are compared every CHECK rounds.
-STEPS, LEAST_STEP, CHECK = 16, 8, 2
+STEPS, LEAST_STEP, CHECK = 8, 128, 1
 #: Candidates are resolved once so small a part of a list may still qualify: their products cost less than reading on.
 FINALISTS = 8
 #: Range of the scores that are returned.
