@@ -34,6 +34,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 BUCKET = 1024
 #: A tiled bucket is cut into so many chunks at most, which bounds how often a row is sent.
 MOST_CHUNKS = 64
+#: Rows (an id and a hash each) that may be broadcast to tell which documents go; beyond, they are joined by their keys.
+MOST_BROADCAST = 1_000_000
 #: Shingles hashed at a time, which bounds memory for very long texts.
 WINDOW = 1 << 17
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -299,14 +301,27 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     is null or shared by unlike texts still keeps one row in every class.
     """
     # the row's text is known by its 64-bit hash, which the Arrow pass hands on with the id
-    keyed = df.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key")).alias("__row"), F.col(text_col))
-    marked = checkpoint(fingerprints(keyed, "__row", text_col).select(F.col("__row.id").alias("__id"), F.col("__row.key").alias("__text_key"), "fp"))
+    text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    keyed = df.select(F.struct(F.col(id_col).alias("id"), text_key.alias("key")).alias("__row"), F.col(text_col))
+    marked = checkpoint(fingerprints(keyed, "__row", text_col).select(F.col("__row.id").alias("__id"), F.col("__row.key").alias("__key"), "fp"))
     classes = _classed(marked, "__id", radius, BUCKET)
-    best = classes.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__text_key").alias("key"))).alias("b"))
-    keepers = best.select(F.col("b.id").alias("__keep_id"), F.col("b.key").alias("__keep_key"))
-    held = df.withColumn("__text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    held = held.join(keepers, F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.col("__text_key") == F.col("__keep_key")), "left_semi")
-    rest = [c for c in df.columns if c != id_col]
-    row = F.struct(*([F.col(text_col)] + [F.col(c) for c in rest if c != text_col]))
-    first = held.groupBy(id_col, "__text_key").agg(F.min(row).alias("__row"))
-    return first.select(*(F.col(id_col) if c == id_col else F.col("__row").getField(c).alias(c) for c in df.columns))
+    return _keep_one(df, classes, id_col, text_col)
+
+
+def _keep_one(df: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` that stay, by ``classes`` (``__id, __key, root``), without shuffling their texts where few go."""
+    text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    best = classes.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"))).alias("b"))
+    held = classes.groupBy("__id", "__key", "root").agg(F.count(F.lit(1)).alias("n")).join(best, "root")
+    stays = F.col("__id").eqNullSafe(F.col("b.id")) & (F.col("__key") == F.col("b.key"))
+    # ids and texts that go, or stay once of several rows: all others are kept as they are
+    odd = checkpoint(held.select("__id", "__key", stays.alias("__stays"), "n").filter("NOT __stays OR n > 1").drop("n"))
+    counts = odd.agg(F.count(F.lit(1)), F.count_if("__stays")).first()
+    odd = F.broadcast(odd) if counts[0] <= MOST_BROADCAST else odd
+    rows = df.select(F.struct(*df.columns).alias("__whole"), F.col(id_col).alias("__own_id"), text_key.alias("__own_key"))
+    judged = rows.join(odd, F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_key") == F.col("__key")), "left")
+    out = judged.filter("__stays IS NULL").select("__whole")
+    if counts[1]:
+        order = F.struct(*([F.col("__whole")[text_col]] + [F.col("__whole")[c] for c in df.columns if c not in (id_col, text_col)]))
+        out = out.union(judged.filter("__stays").groupBy("__own_id", "__own_key").agg(F.min_by("__whole", order).alias("__whole")).select("__whole"))
+    return out.select(*(F.col("__whole")[c].alias(c) for c in df.columns))
