@@ -8,8 +8,9 @@
    generation: a revised simplex keeps the basis, an unbounded knapsack by dynamic
    programming prices new patterns. Patterns are rounded down and the bounded rest
    is placed first-fit decreasing.
-4. Pieces are ranked inside their class (salted, so a hot length is no hot task)
-   and each range of ranks goes to the instances of one pattern.
+4. Full pieces are sequences of their own. The others are ranked inside their
+   class (salted by its count, so a hot length is no hot task) and each range of
+   ranks goes to the instances of one pattern.
 """
 
 from __future__ import annotations
@@ -28,7 +29,11 @@ from pyspark.sql import window as W
 from ..shipping import ship
 from .common import checkpoint
 
-CAPACITY, UNIT, END_ID, SALTS = 4096, 16, 2, 64
+CAPACITY, UNIT, END_ID = 4096, 16, 2
+#: Rows that are ranked in one window; a class has as many salts as it needs for that.
+RANKED = 250_000
+#: Salted classes are broadcast with their first ranks up to so many.
+MOST_BROADCAST = 500_000
 #: The linear program ends when its value is proven to lie within this share of the optimum.
 GAP = 0.002
 #: Weight of the best prices so far in those a round tries first, which steadies column generation.
@@ -209,21 +214,28 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float =
     return plan
 
 
-def pack(cut: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, unit: int = UNIT, salts: int = SALTS, tie: str | None = None) -> DataFrame:
+def pack(cut: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, unit: int = UNIT, ranked: int = RANKED, tie: str | None = None) -> DataFrame:
     """``cut`` (``id_col, start, length``, others stay) with ``sequence_id`` and ``offset``.
 
     Every piece lies in one sequence of at most ``capacity`` tokens, gapless from
-    offset 0; sequence ids run from 0. ``tie`` names a further column that tells
-    pieces of equal ids apart. An empty table gives an empty result; columns named
-    as a result are replaced. ``cut`` is read several times: pass a stored table.
+    offset 0. Packed sequences are numbered from 0; full pieces, which need no
+    packing, have negative ids of their own. ``tie`` names a further column that
+    tells pieces of equal ids apart. An empty table gives an empty result; columns
+    named as a result are replaced. ``cut`` is read several times: pass a stored
+    table, whose row order is fixed.
     """
     spark = cut.sparkSession
     room = capacity // unit
+    kept = [c for c in cut.columns if c not in ("sequence_id", "offset")]
+    rows = cut.select(*kept)
+    full = rows.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
     tied = [id_col, "start", *([tie] if tie else [])]
-    marked = cut.drop("sequence_id", "offset").withColumn("__class", F.ceil(F.col("length") / unit).cast("int")).withColumn("__salt", F.pmod(F.xxhash64(*tied), F.lit(salts)).cast("int"))
-    counts = checkpoint(marked.groupBy("__class", "__salt").agg(F.count(F.lit(1)).alias("__n")))  # at most room x salts rows
-    histogram = sorted((r[0], r[1]) for r in counts.groupBy("__class").agg(F.sum("__n")).collect())
+    classed = rows.filter(F.col("length") < capacity).withColumn("__class", F.ceil(F.col("length") / unit).cast("int"))
+    histogram = sorted((r[0], r[1]) for r in classed.groupBy("__class").agg(F.count(F.lit(1))).collect())  # at most ``room`` rows
     sizes, demand = np.array([c for c, _ in histogram], np.int64), np.array([n for _, n in histogram], np.int64)
+    salts = F.create_map(*(F.lit(x) for c, n in histogram for x in (c, -(-n // ranked)))) if histogram else F.create_map().cast("map<int,int>")
+    salted = classed.withColumn("__salt", F.pmod(F.xxhash64(*tied), F.try_element_at(salts, F.col("__class"))).cast("int"))
+    counts = checkpoint(salted.groupBy("__class", "__salt").agg(F.count(F.lit(1)).alias("__n")))
     segments, taken, sequence = [], np.zeros(len(sizes), np.int64), 0
     for pattern, times in cutting_stock(sizes, demand, room):
         lane = 0
@@ -237,14 +249,15 @@ def pack(cut: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, unit:
     plan = spark.createDataFrame(segments, "__c int, __low long, __high long, __first long, __many long, __lane long")
     before = W.Window.partitionBy("__class").orderBy("__salt").rowsBetween(W.Window.unboundedPreceding, -1)
     bases = counts.select("__class", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    bases = F.broadcast(bases) if sum(-(-n // ranked) for _, n in histogram) <= MOST_BROADCAST else bases
     inside = W.Window.partitionBy("__class", "__salt").orderBy(*tied)
-    ranked = marked.withColumn("__in", F.row_number().over(inside) - 1).join(F.broadcast(bases), ["__class", "__salt"]).withColumn("__rank", F.col("__in") + F.col("__base"))
-    placed = ranked.join(F.broadcast(plan), (F.col("__class") == F.col("__c")) & (F.col("__rank") >= F.col("__low")) & (F.col("__rank") < F.col("__high")))
+    placed = salted.withColumn("__in", F.row_number().over(inside) - 1).join(bases, ["__class", "__salt"]).withColumn("__rank", F.col("__in") + F.col("__base"))
+    placed = placed.join(F.broadcast(plan), (F.col("__class") == F.col("__c")) & (F.col("__rank") >= F.col("__low")) & (F.col("__rank") < F.col("__high")))
     ahead = F.col("__rank") - F.col("__low")
     placed = placed.withColumn("sequence_id", F.col("__first") + F.floor(ahead / F.col("__many")).cast("bigint")).withColumn("__at", F.col("__lane") + ahead % F.col("__many"))
     earlier = W.Window.partitionBy("sequence_id").orderBy("__at").rowsBetween(W.Window.unboundedPreceding, -1)
     out = placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("bigint"))
-    return out.select(*(c for c in cut.columns if c not in ("sequence_id", "offset")), "sequence_id", "offset")
+    return out.select(*kept, "sequence_id", "offset").union(full.select(*kept, "sequence_id", "offset"))
 
 
 def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
