@@ -108,33 +108,41 @@ def online_bins(values: list[float], weights: list[float], tolerance: float) ->
     return out
 
 
+# Shares of the page's width and multiples that make a gap a column gap.
+EMPTY_SHARE, LEAST_SHARE, REGULAR_SHARE, WIDE_SHARE, MOST_SHARE = 0.10, 0.03, 0.02, 0.25, 0.25
+FENCE, MOST_VARIATION, UNEVEN, PART_OF_LEAST = 1.5, 0.5, 3.0, 0.7
+
+
 def gap_threshold(gaps: list[float], mean_width: float, page_width: float) -> float:
-    """Gap from which two fragments of a line lie in different columns, by the shape of all the page's positive gaps."""
-    if not gaps:
-        return 0.10 * page_width
-    s, n = sorted(gaps), len(gaps)
-    at = lambda q: s[min(n - 1, int(n * q))]
-    middle = (s[(n - 1) // 2] + s[n // 2]) / 2
-    if mean_width > 0.25 * page_width and n >= 8:
-        spread = at(0.75) - at(0.25)
-        inner = [g for g in gaps if at(0.25) - 1.5 * spread <= g <= at(0.75) + 1.5 * spread]
-        if len(inner) >= 5:
-            mean = sum(inner) / len(inner)
-            deviation = (sum((g - mean) ** 2 for g in inner) / (len(inner) - 1)) ** 0.5
-            if mean > 0 and deviation / mean < 0.5:
-                return min(max(0.7 * min(inner), 0.02 * page_width), 0.25 * page_width)
-    limit = 0.03 * page_width
-    small, large = [g for g in gaps if g < limit], [g for g in gaps if g >= limit]
-    ratio = s[-1] / s[0] if s[0] > 0 else 1.0
-    if small and len(large) >= 3:
-        found = (max(small) + min(large)) / 2
-    elif large and not small:
-        found = 0.7 * min(large)
-    elif ratio > 3.0 and n >= 5:
-        found = max(3 * at(0.25), (at(0.25) + middle) / 2, 0.05 * page_width)
+    """Gap from which two fragments of a line lie in different columns, by the shape of all the page's positive gaps.
+
+    Wide fragments with gaps that vary little, quartile outliers aside, give a part
+    of the least gap. Otherwise small gaps (words) and large ones (columns) are told
+    apart at a share of the page: half-way between the two if there are
+    enough large ones, below the large ones if there are no others, and by
+    quartiles where all are small.
+    """
+    g = np.sort(np.asarray(gaps, float))
+    n = len(g)
+    if not n:
+        return EMPTY_SHARE * page_width
+    low, high = g[[min(n - 1, n // 4), min(n - 1, 3 * n // 4)]]
+    held = lambda value, least: float(np.clip(value, least * page_width, MOST_SHARE * page_width))
+    if n >= 8 and mean_width > WIDE_SHARE * page_width:
+        usual = g[np.abs(g - (low + high) / 2) <= (FENCE + 0.5) * (high - low)]
+        if len(usual) >= 5 and 0 < usual.mean() and usual.std(ddof=1) < MOST_VARIATION * usual.mean():
+            return held(PART_OF_LEAST * usual[0], REGULAR_SHARE)
+    split = int(np.searchsorted(g, LEAST_SHARE * page_width))  # small gaps before it, large ones from it on
+    middle = np.median(g)
+    if split == 0:
+        return held(PART_OF_LEAST * g[0], LEAST_SHARE)
+    if n - split >= 3:
+        return held((g[split - 1] + g[split]) / 2, LEAST_SHARE)
+    if n >= 5 and 0 < g[0] and g[-1] > UNEVEN * g[0]:
+        by_quartiles = (3 * low, (low + middle) / 2)
     else:
-        found = max(4 * at(0.75), 6 * middle, 0.05 * page_width)
-    return min(max(found, limit), 0.25 * page_width)
+        by_quartiles = (4 * high, 6 * middle)
+    return held(max(*by_quartiles, 0.05 * page_width), LEAST_SHARE)
 
 
 def page_lines(rows: list[tuple[float, float, float]], tolerance: float = 3.0) -> list[list[tuple[float, float]]]:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from pageloom.functions.word_splits import repaired
+from pyspark.sql import functions as F
+
+from pageloom.functions import word_splits
 from pageloom.operators import kernels as K
 
 
@@ -99,8 +101,8 @@ def test_labels():
 @pytest.mark.parametrize("text, want", [
     (None, None), ("", ""), ("man- agement", "management"), ("elec-tromagnetic", "electromagnetic"), ("high-quality", "high-quality"), ("Com pany.", "Company."), ("weal th", "wealth"), ("plain", "plain"),
 ])
-def test_word_splits(text, want):
-    assert repaired(text) == want
+def test_word_splits(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(word_splits.repair(F.col("t"))).first()[0] == want
 
 
 def test_groups_over_many_batches(spark):
@@ -111,3 +113,12 @@ def test_groups_over_many_batches(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted((r["a"], r["i"], r["n"]) for r in made) == sorted((g, i, 1 + g * 4) for g, _, i, _ in rows)
     assert K.per_group(df.limit(0), ["a"], ["i"], "n", "int", lambda p: []).count() == 0
+
+
+@pytest.mark.parametrize("text, want", [
+    (None, None), ("", ""), ("plain", "plain"), ("a\t\tb", "a\t\tb"), ("line one\n\nLine two", "line oneLine two"), ("exam-\nple", "exam-ple"), ("the cat\nsat", "the cat sat"),
+    ("man- agement of", "management of"), ("well-known re-ally", "well-known re-ally"), ("foo-bar-ing", "foo-bar-ing"), ("lat-ing-tion", "lating-tion"),
+    ("Com pany. The na tion ity", "Company. Thena tionity"), ("Se nior na tion ally", "Senior nationally"), ("a tion, b tion", "ation, btion"), ("Éta ti!", "Étati!"), ("of  fice", "office"), ("x \\ y", "x \\ y"),
+])
+def test_word_split_rules(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(word_splits.repair(F.col("t"))).first()[0] == want
