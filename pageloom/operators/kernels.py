@@ -11,55 +11,85 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from ..shipping import ship
 
 
+def _same_as_before(column: pa.ChunkedArray) -> np.ndarray:
+    """For every row but the first: whether the key is that of the row before; null equals null."""
+    now, before = column.slice(1), column.slice(0, max(len(column) - 1, 0))
+    equal = pc.fill_null(pc.equal(now, before), False)
+    return pc.or_(equal, pc.and_(pc.is_null(now, nan_is_null=True), pc.is_null(before, nan_is_null=True))).to_numpy()
+
+
 def per_group(df: DataFrame, keys: list[str], order: list[str], out: str, kind: str, kernel: Callable[[pd.DataFrame], list]) -> DataFrame:
     """``df`` with a column that ``kernel`` computes from each group's rows in order.
 
     Groups are small and many, so they pass through Python in batches of sorted
     rows rather than one call each; only the group at a batch's end is held over.
+    The rows themselves stay Arrow tables, so no value changes on the way.
     """
     ship(df.sparkSession)
     narrow = df.drop(out)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema]
+    out_type = to_arrow_type(DataType.fromDDL(kind))
 
-    def solved(rows: pd.DataFrame) -> pd.DataFrame:
-        begins = np.zeros(len(rows), bool)
-        begins[0] = True
-        for k in keys:
-            now, before = rows[k].to_numpy()[1:], rows[k].to_numpy()[:-1]
-            begins[1:] |= (now != before) & ~(pd.isna(now) & pd.isna(before))
-        starts = [*np.nonzero(begins)[0].tolist(), len(rows)]
-        values: list = []
-        for i, j in zip(starts, starts[1:], strict=False):
-            values.extend(kernel(rows.iloc[i:j].reset_index(drop=True)))
-        return rows.assign(**{out: values})
-
-    def last_start(rows: pd.DataFrame) -> int:
-        same = np.ones(len(rows), bool)
+    def begins(rows: pa.Table) -> np.ndarray:
+        """Where groups begin."""
+        same = np.ones(len(rows) - 1, bool)
         for k in keys:
-            column, last = rows[k].to_numpy(), rows[k].iloc[-1]
-            same &= pd.isna(column) if pd.isna(last) else column == last
-        return len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
+            same &= _same_as_before(rows.column(k))
+        return np.concatenate([[0], np.nonzero(~same)[0] + 1])
+
+    def solved(rows: pa.Table, starts: np.ndarray):
+        frame, values = rows.to_pandas(), []
+        for i, j in zip(starts, [*starts[1:], len(rows)], strict=True):
+            values.extend(kernel(frame.iloc[i:j].reset_index(drop=True)))
+        made = rows.append_column(out, pa.chunked_array([pa.Array.from_pandas(pd.Series(values, dtype=object), type=out_type)]))
+        return made.combine_chunks().to_batches()
 
     def run(batches):
-        held: pd.DataFrame | None = None
+        held: pa.Table | None = None
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            cut = last_start(rows)
-            if cut:
-                yield solved(rows.iloc[:cut])
-            held = rows.iloc[cut:]
-        if held is not None and len(held):
-            yield solved(held)
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            starts = begins(rows)
+            if len(starts) > 1:
+                yield from solved(rows.slice(0, int(starts[-1])), starts[:-1])
+            held = rows.slice(int(starts[-1]))
+        if held is not None:
+            yield from solved(held, np.array([0]))
 
     dealt = narrow.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return dealt.mapInPandas(run, ", ".join([*fields, f"`{out}` {kind}"]))
+    return dealt.mapInArrow(run, ", ".join([*fields, f"`{out}` {kind}"]))
+
+
+def outline_parents(levels: list[int]) -> list[int]:
+    """For each row of a preorder outline the last one before it with a smaller level, -1 if there is none."""
+    out, open_rows = [], []
+    for i, level in enumerate(levels):
+        while open_rows and levels[open_rows[-1]] >= level:
+            open_rows.pop()
+        out.append(open_rows[-1] if open_rows else -1)
+        open_rows.append(i)
+    return out
+
+
+def outline_ends(levels: list[int]) -> list[int]:
+    """For each row of a preorder outline the next one of its level or above, -1 if there is none."""
+    out, open_rows = [-1] * len(levels), []
+    for i, level in enumerate(levels):
+        while open_rows and levels[open_rows[-1]] >= level:
+            out[open_rows.pop()] = i
+        open_rows.append(i)
+    return out
 
 
 def running_mean_groups(values: list[float], tolerance: float) -> list[int]:

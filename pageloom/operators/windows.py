@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import strings as S
+from . import kernels as K
 
 
 def _w(keys: list[str], *order) -> W.WindowSpec:
@@ -80,10 +81,10 @@ def page_merges(df: DataFrame, doc: str, page: str, y: str) -> DataFrame:
 
 def bookmark_ends(marks: DataFrame, pages: str = "total_pages") -> DataFrame:
     """Last page of each bookmark: before the next one of its level or above, else the document's last; never before its start."""
-    later = W.Window.partitionBy("doc_id").orderBy("seq").rowsBetween(1, W.Window.unboundedFollowing)
-    rest = F.collect_list(F.struct("level", "start_page")).over(later)
-    nxt = F.get(F.filter(rest, lambda m: m["level"] <= F.col("level")), F.lit(0))["start_page"]
-    return marks.withColumn("end_page", F.greatest(F.col("start_page"), F.coalesce(nxt - 1, F.col(pages) - 1)))
+    closing = lambda p: [None if j < 0 else int(p.start_page[j]) for j in K.outline_ends(list(p.level))]
+    closed = K.per_group(marks, ["doc_id"], ["seq"], "__next", marks.schema["start_page"].dataType.simpleString(), closing)
+    end = F.greatest(F.col("start_page"), F.coalesce(F.col("__next") - 1, F.col(pages) - 1))
+    return closed.withColumn("end_page", end).drop("__next")
 
 
 def matter_bounds(marks: DataFrame) -> DataFrame:
@@ -160,9 +161,8 @@ def page_numbers(df: DataFrame, keys: list[str], page_height: float, margin: flo
 
 def parents(marks: DataFrame) -> DataFrame:
     """Parent of each preorder row: the last one before it with a smaller level."""
-    before = W.Window.partitionBy("doc_id").orderBy("seq").rowsBetween(W.Window.unboundedPreceding, -1)
-    earlier = F.filter(F.collect_list(F.struct("level", "seq")).over(before), lambda m: m["level"] < F.col("level"))
-    return marks.withColumn("parent_seq", F.get(earlier, F.size(earlier) - 1)["seq"])
+    above = lambda p: [None if j < 0 else int(p.seq[j]) for j in K.outline_parents(list(p.level))]
+    return K.per_group(marks, ["doc_id"], ["seq"], "parent_seq", marks.schema["seq"].dataType.simpleString(), above)
 
 
 def paragraph_boundaries(df: DataFrame, keys: list[str], tie: str) -> DataFrame:

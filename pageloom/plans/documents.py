@@ -19,8 +19,10 @@ from .adapters import CONVERSIONS_SQL, conversions, fragments, page_counts, tabl
 
 
 def scratch(spark) -> str:
-    """A fresh path below the shared checkpoint folder, or a temporary one where none is set."""
+    """A fresh path below the shared checkpoint folder; a temporary one only in local mode."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{shared or tempfile.mkdtemp(prefix='pageloom-scratch-')}/scratch/{uuid.uuid4().hex}"
 
 
@@ -138,10 +140,14 @@ def _markdown(s, d):
     return table(s, d, "documents").select("doc_id", F.concat(F.lit("# Top\n\n"), F.regexp_replace("text", "\n", "\n\n## Part\n\n"), F.lit("\n- a\n- b\n\n| x | y |\n|---|---|\n| 1 | 2 |\n")).alias("text"))
 
 
-def _stream(s, d):
-    """The events table as a stream: a folder with the one file."""
-    folder = scratch(s)
-    table(s, d, "events").repartition(4, "event_id").write.parquet(f"{folder}/events")
+def _stream(s, d, closed=False):
+    """The events table as a stream of files; ``closed`` adds a last file with an event far behind all others, which lets the watermark pass them."""
+    folder, rows = scratch(s), table(s, d, "events")
+    rows.repartition(4, "event_id").write.parquet(f"{folder}/events")
+    if closed:
+        last = rows.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+        end = last.select(F.lit(-1).cast("bigint").alias("event_id"), "ts", F.lit(None).cast("bigint").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("props"))
+        end.write.mode("append").parquet(f"{folder}/events")
     return folder, B.events(s, f"{folder}/events", 4)
 
 
@@ -151,12 +157,20 @@ def _replay(s, d):
     return B.current(s, f"{folder}/latest").select("user_id", "event_id", "event_type")
 
 
-def _streamed(build):
-    def query(s, d):
-        folder, stream = _stream(s, d)
-        return B.to_table(build(stream), f"t_{uuid.uuid4().hex}", f"{folder}/checkpoint")
+def _states(s, d):
+    folder, stream = _stream(s, d)
+    B.replay(stream, f"{folder}/state", B.states_into(f"{folder}/states"))
+    return B.states(s, f"{folder}/states")
+
+
+def _daily(s, d):
+    folder, stream = _stream(s, d)
+    return B.to_files(B.daily_counters(stream), folder, ["day", "event_type"])
+
 
-    return query
+def _sessions(s, d):
+    folder, stream = _stream(s, d, closed=True)
+    return B.append_files(B.sessions(stream), folder).filter("user_id IS NOT NULL")
 
 
 def _chain(s, d):
@@ -229,10 +243,10 @@ QUERIES = {
     "sort_08_concat": lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n"), 256).alias("digest")),
     "udf_02_chain": _chain,
     "udf_01_source": _outline_source,
-    "strm_01_states": _streamed(B.job_states),
+    "strm_01_states": _states,
     "strm_03_replay": _replay,
-    "strm_04_daily": _streamed(B.daily_counters),
-    "strm_05_sessions": _streamed(lambda x: B.sessions(x)),
+    "strm_04_daily": _daily,
+    "strm_05_sessions": _sessions,
 }
 
 
