@@ -103,17 +103,42 @@ def move(child: ET.Element, old: ET.Element, new: ET.Element) -> None:
     new.append(child)
 
 
+def rebuilt(root: ET.Element, judge: Callable[[ET.Element, ET.Element], str | None]) -> list[tuple[str, ET.Element]]:
+    """Remove or unwrap children by ``judge(parent, child)``, from the leaves up in one walk; what was done.
+
+    Texts around a child stay. An element is judged when its own children are
+    settled, so one that is emptied on the way is judged as empty. Each list of
+    children is built once, whatever the number of those that go.
+    """
+    done: list[tuple[str, ET.Element]] = []
+    for e in reversed(list(root.iter())):
+        verdicts = [judge(e, c) for c in e]
+        if not any(verdicts):
+            continue
+        kept: list[ET.Element] = []
+        pieces: dict[int, list[str]] = {0: [e.text or ""]}  # texts behind so many kept children
+        for c, how in zip(list(e), verdicts, strict=True):
+            if how is None:
+                kept.append(c)
+                pieces[len(kept)] = [c.tail or ""]
+                continue
+            done.append((how, c))
+            if how == "unwrap":
+                pieces[len(kept)].append(c.text or "")
+                for inner in c:
+                    kept.append(inner)
+                    pieces[len(kept)] = [inner.tail or ""]
+            pieces[len(kept)].append(c.tail or "")
+        e.text = "".join(pieces[0]) or None
+        for k, c in enumerate(kept):
+            c.tail = "".join(pieces[k + 1]) or None
+        e[:] = kept
+    return done
+
+
 def prune(root: ET.Element, empty: Callable[[ET.Element], bool]) -> int:
     """Remove elements for which ``empty`` holds, from the leaves up, until none is left."""
-    count = 0
-    while True:
-        up = links_up(root)
-        gone = [e for e in up if empty(e)]
-        if not gone:
-            return count
-        for e in gone:
-            remove(up[e], e)
-        count += len(gone)
+    return len(rebuilt(root, lambda parent, child: "remove" if empty(child) else None))
 
 
 # ---- rewrites, in the order in which the chain applies them ----
@@ -182,15 +207,8 @@ def cals_tables(root, log):
 
 def flat_paragraphs(root, log):
     """A paragraph inside a paragraph gives its content up."""
-    changed = True
-    while changed:
-        changed = False
-        for p in list(root.iter()):
-            for c in list(p):
-                if local(p) == "para" and local(c) == "para":
-                    unwrap(p, c)
-                    log.append(("nested para", ""))
-                    changed = True
+    done = rebuilt(root, lambda parent, child: "unwrap" if local(parent) == local(child) == "para" else None)
+    log.extend([("nested para", "")] * len(done))
 
 
 def bridgeheads(root, log):
@@ -301,17 +319,7 @@ def excluded_elements(root, log):
             if local(e) in ("b", "strong"):
                 e.set("role", "bold")
             e.tag = RETAGGED[local(e)]
-    changed = True
-    while changed:
-        changed = False
-        for p in list(root.iter()):
-            for c in list(p):
-                how = EXCLUDED.get(local(c))
-                if how:
-                    (unwrap if how == "unwrap" else remove)(p, c)
-                    log.append((how, local(c)))
-                    changed = True
-                    break
+    log.extend((how, local(c)) for how, c in rebuilt(root, lambda parent, child: EXCLUDED.get(local(child))))
 
 
 def tidy_space(root, log):
@@ -326,11 +334,9 @@ def tidy_space(root, log):
 def dangling_links(root, log):
     """Links to ids that the chapter lacks give their text up."""
     ids = {e.get("id") for e in root.iter() if e.get("id")}
-    for p in list(root.iter()):
-        for c in list(p):
-            if local(c) in ("link", "xref") and c.get("linkend") not in ids:
-                log.append(("link", c.get("linkend") or ""))
-                (unwrap if local(c) == "link" else remove)(p, c)
+    gone = {"link": "unwrap", "xref": "remove"}
+    done = rebuilt(root, lambda parent, child: gone[local(child)] if local(child) in gone and child.get("linkend") not in ids else None)
+    log.extend(("link", c.get("linkend") or "") for _, c in done)
 
 
 def nested_sections(root, log):
@@ -354,15 +360,15 @@ CHAIN: dict[str, Callable] = {
 }
 
 
-def fixed(xml: str | None, names: list[str]) -> tuple[str | None, list[tuple[str, str, str]]]:
-    """The rewritten text and the log; what is no XML stays as it is with an entry that says so."""
+def fixed(xml: str | None, names: list[str], rewrites: dict[str, Callable] | None = None) -> tuple[str | None, list[tuple[str, str, str]]]:
+    """The rewritten text and the log; what is no XML stays as it is with an entry that says so. ``rewrites``: CHAIN by default."""
     root = parse(xml)
     if root is None:
         return xml, [("parse", "malformed", "")]
     log: list[tuple[str, str, str]] = []
     for name in names:
         own: list[tuple[str, str]] = []
-        CHAIN[name](root, own)
+        (rewrites or CHAIN)[name](root, own)
         log += [(name, kind, detail) for kind, detail in own]
     return ET.tostring(root, encoding="unicode"), log
 
@@ -384,12 +390,12 @@ def _row_by_row(df: DataFrame, key: str, xml: str, out: list[tuple[str, pa.DataT
 _LOG = pa.list_(pa.struct([("fix", pa.string()), ("kind", pa.string()), ("detail", pa.string())]))
 
 
-def rewrite(df: DataFrame, key: str = "chapter", xml: str = "xml", fixes: list[str] | None = None) -> DataFrame:
-    """``(key, xml, fixes)``: every chapter through the chain, with its log."""
-    names = list(fixes or CHAIN)
+def rewrite(df: DataFrame, key: str = "chapter", xml: str = "xml", fixes: list[str] | None = None, rewrites: dict[str, Callable] | None = None) -> DataFrame:
+    """``(key, xml, fixes)``: every chapter through the chain, or through other ``rewrites``, with its log."""
+    names = list(fixes or rewrites or CHAIN)
 
     def work(x):
-        new, log = fixed(x, names)
+        new, log = fixed(x, names, rewrites)
         return new, [{"fix": a, "kind": b, "detail": c} for a, b, c in log]
 
     return _row_by_row(df, key, xml, [("xml", pa.string(), "string"), ("fixes", _LOG, "array<struct<fix:string,kind:string,detail:string>>")], work)

@@ -47,23 +47,42 @@ def full_page_images(found: DataFrame) -> DataFrame:
 def metadata_csv(spark: SparkSession, path: str) -> DataFrame:
     """``(field, value)`` of a metadata CSV in either layout: key and value columns, or a heading with one row of values."""
     rows = spark.read.option("header", "false").option("mode", "PERMISSIVE").schema(", ".join(f"c{i} string" for i in range(24))).csv(path)
-    numbered = rows.withColumn("__n", F.monotonically_increasing_id())
-    wide = rows.agg(F.count_if(F.col("c2").isNotNull()).alias("w"), F.count(F.lit(1)).alias("n")).select(((F.col("w") > 0) & (F.col("n") >= 2)).alias("wide"))
-    cells = numbered.select("__n", F.posexplode(F.array(*(f"c{i}" for i in range(24)))).alias("i", "v"))
-    first = cells.select(F.min("__n").alias("__first"))
-    heads = cells.join(F.broadcast(first), F.col("__n") == F.col("__first")).select("i", F.col("v").alias("field"))
-    across = cells.join(F.broadcast(first), F.col("__n") > F.col("__first")).join(heads, "i").select("field", F.col("v").alias("value"))
-    down = rows.select(F.col("c0").alias("field"), F.col("c1").alias("value"))
-    chosen = across.join(F.broadcast(wide.filter("wide"))).select("field", "value").union(down.join(F.broadcast(wide.filter("NOT wide"))).select("field", "value"))
+    seen = rows.agg(F.count_if(F.col("c2").isNotNull()).alias("wide"), F.count(F.lit(1)).alias("n")).first()
+    if seen["wide"] and seen["n"] >= 2:
+        numbered = rows.withColumn("__n", F.monotonically_increasing_id())
+        cells = numbered.select("__n", F.posexplode(F.array(*(f"c{i}" for i in range(24)))).alias("i", "v"))
+        # the heading is the first row, so the smallest number of each column is the heading's
+        heads = cells.groupBy("i").agg(F.min("__n").alias("__n"), F.min_by("v", "__n").alias("field"))
+        chosen = cells.withColumnRenamed("__n", "__row").join(F.broadcast(heads), "i").filter("__row > __n").select("field", F.col("v").alias("value"))
+    else:
+        chosen = rows.select(F.col("c0").alias("field"), F.col("c1").alias("value"))
     return chosen.filter("field IS NOT NULL AND trim(value) <> '' AND lower(trim(field)) <> 'field' AND lower(trim(value)) NOT IN ('n/a', 'na', 'none')")
 
 
+def metadata_pairs(cells: DataFrame) -> DataFrame:
+    """``(path, field, value)`` of metadata workbooks in either layout, from ``sheet_cells``: two columns of fields and values, or a heading with one row of values."""
+    sheets = cells.groupBy("path").agg(F.max(F.when(F.col("row") == 0, F.col("col"))).alias("__last"), F.max("row").alias("__rows")).withColumn("__wide", (F.col("__last") > 1) & (F.col("__rows") >= 1))
+    placed = cells.join(sheets, "path")
+    across = placed.filter("__wide AND row <= 1").groupBy("path", "col").agg(F.max(F.when(F.col("row") == 0, F.col("value"))).alias("field"), F.max(F.when(F.col("row") == 1, F.col("value"))).alias("value"))
+    down = placed.filter("NOT __wide AND col <= 1").groupBy("path", "row").agg(F.max(F.when(F.col("col") == 0, F.col("value"))).alias("field"), F.max(F.when(F.col("col") == 1, F.col("value"))).alias("value"))
+    return across.select("path", "field", "value").union(down.select("path", "field", "value")).filter("field IS NOT NULL AND trim(value) <> ''")
+
+
 def book_record(pairs: DataFrame) -> DataFrame:
     """One record of known fields from (field, value) rows; the last value counts, authors are joined."""
+    return _records(pairs)
+
+
+def book_records(pairs: DataFrame, key: str) -> DataFrame:
+    """One record for each key of (key, field, value) rows."""
+    return _records(pairs, key)
+
+
+def _records(pairs: DataFrame, *keys: str) -> DataFrame:
     known = pairs.withColumn("name", S.field_name(F.col("field"))).filter("name IS NOT NULL")
     of = lambda n: F.max(F.when(F.col("name") == n, F.trim("value")))
     authors = F.array_distinct(F.flatten(F.collect_list(F.when(F.col("name") == "authors", S.split_authors(F.col("value"))))))
-    return known.agg(
+    return known.groupBy(*keys).agg(
         F.max(F.when(F.col("name") == "isbn", S.isbn_clean(F.col("value")))).alias("isbn"), *(of(n).alias(n) for n in ("title", "subtitle", "publisher", "pubdate", "edition", "copyright_holder")),
         F.array_sort(authors).alias("authors"), F.max(F.when(F.col("name") == "copyright_year", F.coalesce(S.year(F.col("value")), F.trim("value")))).alias("copyright_year"),
     )
