@@ -31,7 +31,7 @@ from .common import checkpoint
 
 CAPACITY, UNIT, END_ID = 4096, 16, 2
 #: Rows that are ranked in one window; a class has as many salts as it needs for that.
-RANKED = 250_000
+RANKED = 65_536
 #: Salted classes are broadcast with their first ranks up to so many.
 MOST_BROADCAST = 500_000
 #: The linear program ends when its value is proven to lie within this share of the optimum.

@@ -312,10 +312,12 @@ def _keep_one(df: DataFrame, classes: DataFrame, id_col: str, text_col: str) ->
     """The rows of ``df`` that stay, by ``classes`` (``__id, __key, root``), without shuffling their texts where few go."""
     text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     best = classes.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"))).alias("b"))
-    held = classes.groupBy("__id", "__key", "root").agg(F.count(F.lit(1)).alias("n")).join(best, "root")
-    stays = F.col("__id").eqNullSafe(F.col("b.id")) & (F.col("__key") == F.col("b.key"))
+    # a text lies in one class, so rows meet their class's choice by id and text, and a large class is no hot key
+    chosen = best.select(F.col("b.id").alias("__best_id"), F.col("b.key").alias("__best_key"), F.lit(True).alias("__best"))
+    held = classes.groupBy("__id", "__key").agg(F.count(F.lit(1)).alias("n"))
+    held = held.join(chosen, F.col("__id").eqNullSafe(F.col("__best_id")) & (F.col("__key") == F.col("__best_key")), "left")
     # ids and texts that go, or stay once of several rows: all others are kept as they are
-    odd = checkpoint(held.select("__id", "__key", stays.alias("__stays"), "n").filter("NOT __stays OR n > 1").drop("n"))
+    odd = checkpoint(held.select("__id", "__key", F.col("__best").isNotNull().alias("__stays"), "n").filter("NOT __stays OR n > 1").drop("n"))
     counts = odd.agg(F.count(F.lit(1)), F.count_if("__stays")).first()
     odd = F.broadcast(odd) if counts[0] <= MOST_BROADCAST else odd
     rows = df.select(F.struct(*df.columns).alias("__whole"), F.col(id_col).alias("__own_id"), text_key.alias("__own_key"))
