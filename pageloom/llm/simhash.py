@@ -1,14 +1,17 @@
 """SimHash near-duplicate classes by bit-sliced comparison.
 
-1. Every text becomes a 64-bit fingerprint of its word shingles (one Arrow pass).
+1. Every text becomes a fingerprint of its word shingles (one Arrow pass): 64 bits,
+   or several words of 64 bits from the same shingle hashes.
 2. Rows collapse to distinct fingerprints, so copies cost nothing further.
-3. Two fingerprints within ``radius`` bits agree on at least one of ``radius + 1``
-   bands, so each goes to one bucket per band. A bucket over ``BUCKET`` entries is
-   split again by the same rule on its remaining bits, and one that is still too
-   large is cut into tiles: every pair of chunks meets in exactly one tile. No
-   candidate is dropped at any level.
+3. Fingerprints meet in buckets. Two of 64 bits within a small ``radius`` agree on at
+   least one of ``radius + 1`` bands, so each goes to one bucket per band; a bucket
+   over ``BUCKET`` entries is split again by the same rule on its remaining bits.
+   Wide fingerprints, whose radius is too large for that, meet where they agree
+   on any 16 neighbouring bits of a stride. A bucket that is still too large is
+   cut into tiles: every pair of chunks meets in exactly one tile. No candidate is
+   dropped at any level.
 4. Inside a bucket the fingerprints lie in 64-lane blocks, one machine word for each
-   bit plane. One comparison holds a fingerprint against a block: 64 planes are
+   bit plane. One comparison holds a fingerprint against a block: the planes are
    XORed and added to carry-save counters, and it is abandoned as soon as every
    lane is over the radius.
 5. A bucket returns only a spanning forest of its links; the forests are joined
@@ -17,6 +20,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
@@ -30,6 +34,10 @@ from .common import checkpoint, shuffle_partitions
 from .components import connected_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
+#: Shingles and fingerprint words of ``drop_near_duplicates``, and the Jaccard similarity of shingle sets from which texts are near duplicates.
+NEAR_SHINGLE, NEAR_WORDS, SIMILARITY = 5, 4, 0.8
+#: Bits of a bucket's key of wide fingerprints, and how far the next key begins.
+KEY_BITS, STRIDE = 16, 8
 #: Largest bucket compared as it is; larger ones are split by their other bits, then tiled.
 BUCKET = 1024
 #: A tiled bucket is cut into so many chunks at most, which bounds how often a row is sent.
@@ -41,67 +49,86 @@ WINDOW = 1 << 17
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: bytes | None, size: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned fingerprint of one UTF-8 text; zero if it is null or has no word."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    if len(words) < size:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    n = len(words) - size + 1
-    ones = np.zeros(64, np.int64)
+def _spread(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Each 64-bit hash and ``words - 1`` mixtures of it (the finalizer of SplitMix64), shape (n, words)."""
+    out = np.empty((len(hashes), words), np.uint64)
+    out[:, 0] = hashes
+    for k in range(1, words):
+        z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[:, k] = z ^ (z >> np.uint64(31))
+    return out
+
+
+def fingerprint(text: bytes | None, size: int = SHINGLE, seed: int = SEED, words: int = 1) -> np.ndarray:
+    """The fingerprint of one UTF-8 text as unsigned words; zero if it is null or has no word."""
+    found = (text or b"").lower().split()
+    if not found:
+        return np.zeros(words, np.uint64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
+    if len(found) < size:
+        return _spread(np.array([digest(join(found), seed)], np.uint64), words)[0]
+    n = len(found) - size + 1
+    ones = np.zeros(64 * words, np.int64)
     for at in range(0, n, WINDOW):
-        part = words[at : min(at + WINDOW, n) + size - 1]
+        part = found[at : min(at + WINDOW, n) + size - 1]
         shingles = map(join, zip(*(part[k:] for k in range(size)), strict=False))
-        hashes = np.fromiter(map(digest, shingles, repeat(seed)), np.uint64, len(part) - size + 1)
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        hashes = _spread(np.fromiter(map(digest, shingles, repeat(seed)), np.uint64, len(part) - size + 1), words)
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(len(hashes), 8 * words), axis=1, bitorder="little")
         for k in range(0, len(bits), 255):  # sums that fit a byte are added eight lanes and more at a time
             ones += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8")
+
 
+def fp_columns(words: int) -> list[str]:
+    return ["fp"] if words == 1 else [f"fp{k}" for k in range(words)]
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``(id_col, fp)`` for every row: the fingerprint as a signed long.
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED, words: int = 1) -> DataFrame:
+    """``(id_col, fp)`` for every row: the fingerprint as a signed long, or as columns ``fp0, fp1 ...`` if it has several words.
 
     A null or wordless text has fingerprint 0. Repeated rows and null ids stay;
     other columns are not read.
     """
     ship(df.sparkSession)
     narrow = df.select(F.col(id_col), F.col(text_col).cast("binary").alias("__text"))
+    names = fp_columns(words)
 
     def run(batches):
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), size, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
+            fps = np.array([fingerprint(t.as_py(), size, seed, words) for t in batch.column(1)], np.uint64).reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(words))], names=[id_col, *names])
 
     kind = narrow.schema[id_col].dataType.simpleString()
-    return narrow.mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return narrow.mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{n} bigint" for n in names)]))
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """Blocks of 64 fingerprints, shape (blocks, 64), as vertical planes, shape (64, blocks)."""
-    bits = np.unpackbits(np.ascontiguousarray(fps).astype("<u8").view(np.uint8).reshape(len(fps), 64, 8), axis=2, bitorder="little")
+    """Blocks of 64 fingerprints, shape (blocks, 64, words), as vertical planes, shape (64 * words, blocks)."""
+    blocks, _, words = fps.shape
+    bits = np.unpackbits(np.ascontiguousarray(fps).astype("<u8").view(np.uint8).reshape(blocks, 64, 8 * words), axis=2, bitorder="little")
     lanes = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")
-    return np.ascontiguousarray(lanes).view("<u8").reshape(64, len(fps))
+    return np.ascontiguousarray(lanes).view("<u8").reshape(64 * words, blocks)
 
 
 def within(planes: np.ndarray, queries: np.ndarray, blocks: np.ndarray, radius: int) -> np.ndarray:
-    """For comparison i, the mask of lanes of block ``blocks[i]`` within ``radius`` bits of ``queries[i]``."""
+    """For comparison i, the mask of lanes of block ``blocks[i]`` within ``radius`` bits of ``queries[i]``, a row of words."""
     width = radius.bit_length()
     out = np.zeros(len(queries), np.uint64)
     live = np.arange(len(queries))
     counters = [np.zeros(len(queries), np.uint64) for _ in range(width)]
     over = np.zeros(len(queries), np.uint64)
     q, at = queries, blocks
-    for bit in range(64):
-        carry = planes[bit, at] ^ (np.uint64(0) - ((q >> np.uint64(bit)) & np.uint64(1)))
+    for bit in range(len(planes)):
+        carry = planes[bit, at] ^ (np.uint64(0) - ((q[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)))
         for c in counters:
             carry_on = c & carry
             c ^= carry
             carry = carry_on
         over |= carry
-        if radius + 1 != 1 << width:
+        look = bit % 8 == 7
+        if radius + 1 != 1 << width and (look or radius < 8):
             # the counters can hold more than the radius: mark the lanes beyond it
             above = np.zeros_like(over)
             equal = np.full_like(over, ALL)
@@ -112,7 +139,7 @@ def within(planes: np.ndarray, queries: np.ndarray, blocks: np.ndarray, radius:
                     above |= equal & counters[k]
                     equal &= ~counters[k]
             over |= above
-        if bit % 8 == 7 and bit < 63:
+        if look and bit + 1 < len(planes):
             keep = over != ALL
             if not keep.all():
                 live, q, at, over = live[keep], q[keep], at[keep], over[keep]
@@ -137,7 +164,7 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def bucket_links(fps: np.ndarray, starts: np.ndarray, side: np.ndarray, radius: int, chunk: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of many buckets. ``starts``: where each bucket begins in ``fps``.
+    """Spanning links of many buckets, as places in ``fps``, shape (n, words). ``starts``: where each bucket begins there.
 
     ``side``: 0 and 1 for the two chunks of a tile, which are compared across
     only; 2 in a bucket that is compared with itself.
@@ -149,7 +176,7 @@ def bucket_links(fps: np.ndarray, starts: np.ndarray, side: np.ndarray, radius:
     bucket = np.repeat(np.arange(len(starts)), sizes)
     place = np.arange(n) - starts[bucket]
     total = int(blocks_of.sum())
-    laid, item = np.zeros((total, 64), np.uint64), np.full((total, 64), -1, np.int64)
+    laid, item = np.zeros((total, 64, fps.shape[1]), np.uint64), np.full((total, 64), -1, np.int64)
     block, lane = first[bucket] + place // 64, place % 64
     laid[block, lane], item[block, lane] = fps, np.arange(n)
     planes = bit_planes(laid)
@@ -176,28 +203,29 @@ def bucket_links(fps: np.ndarray, starts: np.ndarray, side: np.ndarray, radius:
             _union(label, a[real], b[real])
         at = upto
     linked = np.nonzero(label != np.arange(n))[0]
-    return fps[linked], fps[label[linked]]
+    return linked, label[linked]
 
 
-def _compare(radius: int):
+def _compare(radius: int, words: list[str], node: str):
     """mapInArrow over rows sorted by bucket; a bucket may lie over several batches."""
     keys = ["k1", "k2", "k3"]
+    columns = [*keys, "side", node, *words]
 
     def solve(rows: list[np.ndarray]):
-        *key, side, fp = rows
-        order = np.lexsort([fp, *reversed(key)])
-        key, side, fp = [k[order] for k in key], side[order], fp[order].view(np.uint64)
-        new = np.ones(len(fp), bool)
+        order = np.lexsort([rows[4], *reversed(rows[:3])])
+        *key, side, ids = (r[order] for r in rows[:5])
+        fps = np.stack([r[order].view(np.uint64) for r in rows[5:]], axis=1)
+        new = np.ones(len(ids), bool)
         new[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
-        a, b = bucket_links(fp, np.nonzero(new)[0], side, radius)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
+        a, b = bucket_links(fps, np.nonzero(new)[0], side, radius)
+        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["u", "v"])
 
     def run(batches):
         held: list[list[np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in [*keys, "side", "fp"]]
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
             changed = np.nonzero(np.any([k[1:] != k[:-1] for k in now[:3]], axis=0))[0]
             fresh = held and any(h[-1] != k[0] for h, k in zip(held[-1][:3], now[:3], strict=True))
             if fresh:
@@ -214,6 +242,24 @@ def _compare(radius: int):
     return run
 
 
+def _tiles(large: DataFrame, node: str, words: list[str], bucket: int) -> DataFrame:
+    """Rows of buckets of ``n`` entries, more than ``bucket``, dealt to tiles in which every two chunks of a bucket meet."""
+    chunks = F.least(F.ceil(F.col("n") / bucket), F.lit(MOST_CHUNKS)).cast("bigint")
+    tiles = (
+        large.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64(node), F.col("chunks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+        .withColumn("a", F.least("mine", "other")).withColumn("b", F.greatest("mine", "other"))
+    )
+    side = F.when(F.col("a") == F.col("b"), 2).when(F.col("mine") == F.col("a"), 0).otherwise(1)
+    # a tile's key: the bucket's, with the two chunks in the unused high bits of k3 and k1
+    return tiles.select((F.col("k1") + F.shiftleft(F.col("a") + 1, 32)).alias("k1"), "k2", (F.col("k3") + F.shiftleft(F.col("b") + 1, 52)).alias("k3"), side.alias("side"), *dict.fromkeys([node, *words]))
+
+
+def _compared(dealt: DataFrame, radius: int, words: list[str], node: str) -> DataFrame:
+    rows = dealt.repartition(shuffle_partitions(dealt.sparkSession), "k1", "k2", "k3")
+    return rows.sortWithinPartitions("k1", "k2", "k3").mapInArrow(_compare(radius, words, node), "u bigint, v bigint")
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Distinct fingerprints ``(fp)`` -> ``(u, v)``, links whose closure is that of all links within ``radius``."""
     spark = distinct.sparkSession
@@ -253,20 +299,36 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
         large = deeper.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket)
         sized = deeper.join(large, keys, "left")
         dealt = dealt.union(sized.filter("n IS NULL").select("fp", F.lit(2).alias("side"), *keys))
-        chunks = F.least(F.ceil(F.col("n") / bucket), F.lit(MOST_CHUNKS)).cast("bigint")
-        mine = F.pmod(F.xxhash64("fp"), F.col("chunks"))
-        tiles = (
-            sized.filter("n IS NOT NULL").withColumn("chunks", chunks).withColumn("mine", mine)
-            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-            .withColumn("a", F.least("mine", "other")).withColumn("b", F.greatest("mine", "other"))
-        )
-        side = F.when(F.col("a") == F.col("b"), 2).when(F.col("mine") == F.col("a"), 0).otherwise(1)
-        # a tile's key: the bucket's, with the two chunks in the unused high bits of k3 and k1
-        dealt = dealt.union(
-            tiles.select("fp", side.alias("side"), (F.col("k1") + F.shiftleft(F.col("a") + 1, 32)).alias("k1"), "k2", (F.col("k3") + F.shiftleft(F.col("b") + 1, 52)).alias("k3"))
-        )
-    dealt = dealt.select("k1", "k2", "k3", "side", "fp").repartition(shuffle_partitions(spark), "k1", "k2", "k3")
-    return dealt.sortWithinPartitions("k1", "k2", "k3").mapInArrow(_compare(radius), "u bigint, v bigint")
+        dealt = dealt.select("k1", "k2", "k3", "side", "fp").union(_tiles(sized.filter("n IS NOT NULL"), "fp", ["fp"], bucket))
+    return _compared(dealt, radius, ["fp"], "fp")
+
+
+def radius_of(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of texts of this Jaccard similarity differ on average: the share is their angle by pi."""
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def wide_links(nodes: DataFrame, words: list[str], radius: int, bucket: int = BUCKET) -> DataFrame:
+    """``nodes`` (``node`` and fingerprint ``words``) -> ``(u, v)``: links whose closure is that of all links within ``radius`` bits
+    between fingerprints that agree on one of the keys, ``KEY_BITS`` neighbouring bits from every ``STRIDE``-th bit on."""
+    ship(nodes.sparkSession)
+
+    def key(start: int):
+        k, off = divmod(start, 64)
+        value = F.shiftrightunsigned(F.col(words[k]), off)
+        if off + KEY_BITS > 64:
+            value = value.bitwiseOR(F.shiftleft(F.col(words[k + 1]), 64 - off))
+        return F.struct(F.lit(start).cast("bigint").alias("k1"), value.bitwiseAND(F.lit((1 << KEY_BITS) - 1).cast("bigint")).alias("k2"))
+
+    starts = range(0, 64 * len(words) - KEY_BITS + 1, STRIDE)
+    first = nodes.select("node", *words, F.explode(F.array(*map(key, starts))).alias("k")).select("k.k1", "k.k2", F.lit(0).cast("bigint").alias("k3"), F.lit(2).alias("side"), "node", *words)
+    # at most 2**KEY_BITS keys for each start, whatever the number of rows
+    hot = checkpoint(first.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket))
+    if not hot.isEmpty():
+        sized = first.join(hot, ["k1", "k2"], "left")
+        cold = sized.filter("n IS NULL").select(*first.columns)
+        first = cold.union(_tiles(sized.filter("n IS NOT NULL"), "node", words, bucket).select(*first.columns))
+    return _compared(first, radius, words, "node")
 
 
 def _classed(marked: DataFrame, id_col: str, radius: int, bucket: int) -> DataFrame:
@@ -293,19 +355,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return _classed(marked, id_col, radius, bucket).select(id_col, "fp", "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = NEAR_SHINGLE, words: int = NEAR_WORDS, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
     """One row of each class stays, that of the smallest id.
 
+    Texts are linked whose fingerprints of ``words`` times 64 bits over shingles of
+    ``size`` words differ in no more bits than texts of the given Jaccard
+    ``similarity`` do on average, and agree on one of the keys of ``wide_links``.
+    So similarity is estimated: of 256 bits, texts at 0.8 differ in 39, give or take 6.
+    Equal texts are always linked. Texts of fewer words than a shingle are linked
+    only if they are equal word by word.
+
     Null ids come last; of several texts under that id the one with the smallest
     hash stays, and of several rows with that text the smallest row. An id that
-    is null or shared by unlike texts still keeps one row in every class.
+    is null or shared by unlike texts still keeps one row in every class. Null
+    and wordless texts form one class; an empty table gives an empty result.
     """
     # the row's text is known by its 64-bit hash, which the Arrow pass hands on with the id
     text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     keyed = df.select(F.struct(F.col(id_col).alias("id"), text_key.alias("key")).alias("__row"), F.col(text_col))
-    marked = checkpoint(fingerprints(keyed, "__row", text_col).select(F.col("__row.id").alias("__id"), F.col("__row.key").alias("__key"), "fp"))
-    classes = _classed(marked, "__id", radius, BUCKET)
-    return _keep_one(df, classes, id_col, text_col)
+    names = fp_columns(words)
+    marked = fingerprints(keyed, "__row", text_col, size, seed, words)
+    marked = checkpoint(marked.select(F.col("__row.id").alias("__id"), F.col("__row.key").alias("__key"), *names))
+    # numbered while it is stored, and read with these numbers ever after
+    nodes = checkpoint(marked.select(*names).distinct().withColumn("node", F.monotonically_increasing_id()))
+    found = wide_links(nodes, names, radius_of(similarity, 64 * words), bucket) if words > 1 else links(nodes.select("fp"), radius_of(similarity, 64), bucket)
+    if words == 1:
+        nodes = nodes.withColumn("node", F.col("fp"))
+    classes = checkpoint(connected_components(found))
+    rooted = nodes.join(classes, "node", "left").select(*names, F.coalesce("component", "node").alias("root"))
+    return _keep_one(df, marked.join(rooted, names).select("__id", "__key", "root"), id_col, text_col)
 
 
 def _keep_one(df: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import xxhash
+from near_cases import plain_near_classes
 from cases import TEXTS, lowered, words
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -261,8 +262,7 @@ def test_pipeline(spark, corpus):
         seen[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
     kept = {r["doc_id"] for r in quality.quality(corpus).filter("kept").collect()}
     assert set(seen["quality"]) == kept
-    rows = [(i, plain_fingerprint(t)) for i, t in sorted(seen["quality"].items())]
-    assert set(seen["simhash"]) == set(plain_classes(rows))
+    assert set(seen["simhash"]) == plain_near_classes(sorted(seen["quality"].items()))
     spans = {r["doc_id"]: r["pii"] for r in pii.spans(corpus).collect()}
     for i, t in seen["pii"].items():
         assert (t == seen["simhash"][i]) == (len(spans[i]) == 0)
