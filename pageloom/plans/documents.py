@@ -81,6 +81,11 @@ def _uses(s, d):
     return table(s, d, "lineitem").select(F.col("l_orderkey").alias("chapter"), F.col("l_partkey").alias("resource"))
 
 
+def _placed(s, d):
+    """Uses that place the resource in the text: lines of full quantity."""
+    return table(s, d, "lineitem").filter("l_quantity >= 50").select(F.col("l_orderkey").alias("chapter"), F.col("l_partkey").alias("resource"))
+
+
 _RES = "res AS (SELECT p_partkey AS resource, concat('img', p_partkey, '.png') AS final_name, p_size % 2 = 0 AS is_vector FROM part WHERE p_partkey % 5 <> 0), uses AS (SELECT l_orderkey AS chapter, l_partkey AS resource FROM lineitem)"
 
 
@@ -205,7 +210,7 @@ QUERIES = {
     "join_01_names": lambda s, d: J.probe(_uses(s, d), _resources(s, d), "resource", "final_name"),
     "join_02_reverse": lambda s, d: J.probe(_resources(s, d).select("final_name"), _resources(s, d), "final_name", "resource"),
     "join_03_broken": lambda s, d: J.missing(_uses(s, d), _resources(s, d), ["resource"]),
-    "join_04_unused": lambda s, d: J.missing(_resources(s, d), _uses(s, d).filter("chapter % 9 = 0"), ["resource"]).select("resource"),
+    "join_04_unused": lambda s, d: J.missing(_resources(s, d), _placed(s, d), ["resource"]).select("resource"),
     "join_06_entities": lambda s, d: J.missing(table(s, d, "documents").select("doc_id"), table(s, d, "labels").select("doc_id"), ["doc_id"]),
     "join_07_figures": lambda s, d: J.mentions(_figures(s, d), _labels(s, d)).select("p_partkey", "mention", "resource"),
     "join_08_toc_pages": lambda s, d: table(s, d, "nation").select("n_name", (F.col("n_nationkey") % 4 + 1).cast("bigint").alias("page_num")).join(page_counts(s, d).select("page_num").distinct(), "page_num"),
@@ -245,7 +250,7 @@ QUERIES = {
 
 def _fallbacks(s, d):
     keyed = table(s, d, "part").select(F.col("p_partkey").alias("resource"))
-    first = _resources(s, d).filter("resource % 3 = 0").select(F.col("resource").alias("key1"), "final_name")
+    first = _resources(s, d).filter("is_vector").select(F.col("resource").alias("key1"), "final_name")
     second = table(s, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("key2"), F.col("p_name").alias("other_name"))
     a = J.probe(keyed, first.withColumnRenamed("key1", "resource"), "resource", "final_name")
     return J.probe(a, second.withColumnRenamed("key2", "resource"), "resource", "other_name").select("resource", F.coalesce("final_name", "other_name").alias("found"))
@@ -287,11 +292,11 @@ ORACLE_SQL = {
     "join_01_names": f"WITH {_RES} SELECT uses.resource, chapter, final_name FROM uses LEFT JOIN res USING (resource)",
     "join_02_reverse": f"WITH {_RES} SELECT final_name, resource FROM res",
     "join_03_broken": f"WITH {_RES} SELECT resource, chapter FROM uses WHERE resource NOT IN (SELECT resource FROM res)",
-    "join_04_unused": f"WITH {_RES} SELECT resource FROM res WHERE resource NOT IN (SELECT resource FROM uses WHERE chapter % 9 = 0)",
+    "join_04_unused": f"WITH {_RES} SELECT resource FROM res WHERE resource NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)",
     "join_06_entities": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "join_07_figures": "SELECT p_partkey, mention, n_name AS resource FROM (SELECT p_partkey, concat('figure ', p_partkey % 50) AS mention, p_partkey % 50 AS k FROM part UNION ALL SELECT p_partkey, 'Fig. 7', 7 FROM part) LEFT JOIN nation ON n_nationkey = k",
     "join_08_toc_pages": "SELECT n_name, CAST(n_nationkey % 4 + 1 AS BIGINT) AS page_num FROM nation WHERE n_nationkey % 4 + 1 IN (SELECT l_linenumber FROM lineitem)",
-    "join_23_fallbacks": f"WITH {_RES} SELECT p_partkey AS resource, coalesce(CASE WHEN p_partkey % 3 = 0 THEN final_name END, CASE WHEN p_size > 10 THEN p_name END) AS found FROM part LEFT JOIN res ON p_partkey = resource",
+    "join_23_fallbacks": f"WITH {_RES} SELECT p_partkey AS resource, coalesce(CASE WHEN is_vector THEN final_name END, CASE WHEN p_size > 10 THEN p_name END) AS found FROM part LEFT JOIN res ON p_partkey = resource",
     "agg_24_report": f"WITH {_RES} SELECT count(*) AS resources, count(*) FILTER (is_vector) AS vector, count(*) FILTER (NOT is_vector) AS raster, count(*) FILTER (resource NOT IN (SELECT resource FROM uses)) AS unreferenced FROM res",
     "ext_26_registration": f"WITH {_RES} SELECT resource % 100 AS path, chapter, resource FROM uses QUALIFY row_number() OVER (PARTITION BY resource % 100 ORDER BY chapter DESC, resource DESC) = 1",
     "ext_27_template": "SELECT n_nationkey, 'Unknown' AS template_type FROM nation",

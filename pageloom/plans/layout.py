@@ -164,7 +164,7 @@ QUERIES = {
     "join_13_centres": lambda s, d: _nearest(s, d, *J.centre_distance(200)),
     "join_14_keywords": lambda s, d: J.near_keyword(*_pair(s, d)).select("page", "box"),
     "join_15_ordinals": lambda s, d: J.caption_of_media(_talk(s, d).filter("role = 'user'").select(F.col("conv_id").alias("block"), F.col("turn").alias("ordinal")), _talk(s, d).filter("role <> 'user'").select(F.col("conv_id").alias("block"), F.col("turn").alias("ordinal"))),
-    "join_16_scripts": lambda s, d: J.script_parents(_frag(s, d).withColumn("page", F.concat_ws("-", "doc_id", "page")).withColumn("text", F.left("text", F.lit(2))).withColumn("width", F.col("width") % 20), ["page", "stream_index"]),
+    "join_16_scripts": lambda s, d: J.script_parents(_frag(s, d).withColumn("page", F.concat_ws("-", "doc_id", "page")).withColumn("text", F.col("font_size").cast("string")).withColumn("width", F.col("width") % 20), ["page", "stream_index"]),
     "join_17_panels": lambda s, d: J.panel_edges(boxes(s, d)),
     "join_18_boundary": lambda s, d: J.boundary_above(boxes(s, d).select("page", "box", F.col("y0").alias("y")), boxes(s, d).select("page", F.col("y1").alias("y"))).select("page", "box", "boundary"),
     "join_19_bookmark": lambda s, d: J.active_bookmark(_pages(s, d), N.bookmark_ends(_marks(s, d))),
@@ -173,7 +173,7 @@ QUERIES = {
     "join_22_columns": lambda s, d: boxes(s, d).select("page", "box", J.nearest_column(F.col("x0"), F.array(F.lit(40), F.lit(180), F.lit(330))).cast("bigint").alias("column_index")),
     "flt_04_noise": lambda s, d: _frag(s, d).select("doc_id", "stream_index", D.is_noise(F.col("text"), F.col("top"), F.col("height"), F.col("page_height"), F.col("n_chars") % 5 == 0).alias("noise")),
     "flt_05_footers": lambda s, d: D.is_footer_line(_frag(s, d), "doc_id", "stream_index").select("doc_id", "stream_index", "is_footer"),
-    "flt_06_spines": lambda s, d: _frag(s, d).select("doc_id", "stream_index", D.is_spine(F.left("text", F.lit(3)), F.col("left") * 8, F.col("width") % 9, F.col("height"), F.lit(PAGE_W), F.lit(0)).alias("spine")),
+    "flt_06_spines": lambda s, d: _frag(s, d).select("doc_id", "stream_index", D.is_spine(F.col("font_size").cast("string"), F.col("left") * 8, F.col("width") % 9, F.col("height"), F.lit(PAGE_W), F.lit(0)).alias("spine")),
     "flt_07_content": lambda s, d: boxes(s, d).select("page", "box", (G.share_inside(G.sides(), (F.lit(50), F.lit(50), F.lit(350), F.lit(500))) >= 0.5).alias("inside")),
     "flt_08_images": lambda s, d: boxes(s, d).select("page", "box", D.is_significant_image(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(612 * 792)).alias("significant")),
     "flt_09_image_kinds": lambda s, d: boxes(s, d).select("page", "box", D.image_kind(F.col("kind") == "A", (F.col("x1") - F.col("x0")) * 4, (F.col("y1") - F.col("y0")) * 8, F.col("box") % 7 * 30).alias("image_kind")),

@@ -50,7 +50,9 @@ def _labels_of(s, d):
 
 
 def _marks_of(s, d):
-    return L._marks(s, d).filter("doc_id % 2 = 0")
+    """Outlines with an entry for the back matter; others do not replace what was found."""
+    marks = L._marks(s, d)
+    return marks.join(marks.filter("title = 'Index'").select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 QUERIES = {
@@ -63,7 +65,7 @@ QUERIES = {
     "ext_14_routes": lambda s, d: _line_counts(s, d).select("page", P.extraction_route(c("n"), F.lit(7), c("chars") < 30, c("chars") > 870, c("curves"), c("lines"), c("quads")).alias("route")),
     "win_33_element_pages": lambda s, d: P.element_pages(_marked(s, d), "book").select("book", "node_id", "tag", "page"),
     "win_35_media_order": lambda s, d: P.media_order(boxes(s, d).select("page", "box", c("y0").alias("y"), F.when(c("kind") == "R", c("box") % 50).alias("caption_order"))).select("page", "box", "reading_order"),
-    "win_36_scripts": lambda s, d: P.mark_scripts(L._frag(s, d).withColumn("page", F.concat_ws("-", "doc_id", "page")).withColumn("text", F.left("text", F.lit(2))).withColumn("width", c("width") % 20), ["page", "stream_index"]),
+    "win_36_scripts": lambda s, d: P.mark_scripts(L._frag(s, d).withColumn("page", F.concat_ws("-", "doc_id", "page")).withColumn("text", c("font_size").cast("string")).withColumn("width", c("width") % 20), ["page", "stream_index"]),
     "win_11_columns": L._group(lambda p: [K.column_id(a, w, L.PAGE_W, [0.0, 150.0, 300.0]) for a, w in zip(p.left, p.width, strict=True)]),
     "win_10_starts": L._group(lambda p: [float(len(K.column_starts(list(zip(p.baseline, p.left, p.width, strict=True)), L.PAGE_W)))] * len(p), kind="double"),
     "ext_04_line_tables": lambda s, d: P.line_cluster_tables(L._rules(s, d)).select("page", "x0", "x1", "y0", "y1"),
@@ -133,7 +135,7 @@ ORACLE_SQL = {
     "ext_05_analysis": f"WITH {PAGES_SQL} SELECT doc_id, count(*) AS pages, count(*) FILTER (table_count > 0 OR image_count > 0) AS ai_pages, round_even(sum(CASE WHEN table_count > 0 THEN 5 ELSE 0 END + CASE WHEN image_count > 0 THEN 4 ELSE 0 END) / CAST(count(*) AS DOUBLE), 3) AS avg_score FROM pc GROUP BY 1",
     "ext_12_spans": f"WITH {BOXES_SQL} SELECT page, box, x0, y0, x1, y1 FROM boxes",
     "ext_15_keywords": "SELECT doc_id, regexp_matches(text, '(?i)\\btable\\s+[0-9]') AS has_table_word, length(text) - length(replace(text, '|', '')) >= 4 AS ruled FROM documents",
-    "ext_19_chapters": f"WITH {_FRAG}, {L._MARKS}, o AS (SELECT DISTINCT doc_id FROM m WHERE doc_id % 2 = 0), l AS (SELECT doc_id, CASE WHEN font_size >= 15 THEN 'chapter' ELSE 'para' END AS label FROM f), u AS (SELECT doc_id, label FROM l WHERE label <> 'chapter' OR doc_id NOT IN (SELECT doc_id FROM o) UNION ALL SELECT doc_id, 'chapter' FROM m WHERE doc_id % 2 = 0 AND level = 1) SELECT doc_id, label, count(*) AS n FROM u GROUP BY 1, 2",
+    "ext_19_chapters": f"WITH {_FRAG}, {L._MARKS}, o AS (SELECT DISTINCT doc_id FROM m WHERE title = 'Index'), l AS (SELECT doc_id, CASE WHEN font_size >= 15 THEN 'chapter' ELSE 'para' END AS label FROM f), u AS (SELECT doc_id, label FROM l WHERE label <> 'chapter' OR doc_id NOT IN (SELECT doc_id FROM o) UNION ALL SELECT doc_id, 'chapter' FROM m WHERE doc_id IN (SELECT doc_id FROM o) AND level = 1) SELECT doc_id, label, count(*) AS n FROM u GROUP BY 1, 2",
     "ext_21_cells": "SELECT p_partkey, concat('N B ', p_name, ' ', p_brand, ' &') AS text FROM part",
     "ext_23_flow": "SELECT p_partkey, CAST(CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE -1 END AS DOUBLE) AS flow FROM part",
     "ext_25_registered": f"WITH {Q._RES} SELECT res.resource, CAST(count(DISTINCT chapter) AS INTEGER) AS n, min(chapter) AS first_chapter FROM res LEFT JOIN uses ON uses.resource = res.resource GROUP BY 1",

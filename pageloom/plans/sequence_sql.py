@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from ..operators.windows import CONTINUES, CONTINUES_FAR
 from .adapters import BOXES_SQL, FRAGMENTS_SQL
 from .documents import _LINES
 from .layout import _FRAG, PAGE_H, PAGE_W
+from .layout import ORACLE_SQL as LAYOUT_SQL
 
 _COLUMNS = 'doc_id, page, stream_index, text, top, "left", width, height, font_size, bold, baseline, col_id, block'
 _PAGE, _DOC = ("doc_id", "page"), ("doc_id",)
@@ -58,6 +60,14 @@ _COVER = f"""WITH RECURSIVE {BOXES_SQL}, o AS (SELECT *, row_number() OVER (PART
   up AS (SELECT page, k, k AS at FROM o UNION ALL SELECT up.page, up.k, first.j FROM up JOIN first ON first.page = up.page AND first.k = up.at)
   SELECT o.page, o.box, min(up.at) AS grp FROM o JOIN up ON up.page = o.page AND up.k = o.k GROUP BY o.page, o.box, o.k"""
 
+_SCRIPTS = """f2 AS (SELECT *, concat(doc_id, '-', page) AS pg, CAST(font_size AS VARCHAR) AS t, width % 20 AS w FROM f),
+  near AS (SELECT a.pg, a.stream_index, b.stream_index AS parent, abs(a.top - b.top) AS off, CASE WHEN a."left" - (b."left" + b.w) BETWEEN 0 AND 5 THEN a."left" - (b."left" + b.w) WHEN b."left" - (a."left" + a.w) BETWEEN 0 AND 5 THEN b."left" - (a."left" + a.w) END AS gap
+    FROM f2 a JOIN f2 b ON a.pg = b.pg AND a.w < 15 AND a.height < 14 AND length(a.t) BETWEEN 1 AND 3 AND a.height < 0.75 * b.height AND abs(a.top - b.top) <= 10),
+  pa AS (SELECT pg, stream_index, parent FROM near WHERE gap IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pg, stream_index ORDER BY gap, off, parent) = 1)"""
+_NOISE = r"\.indd\b|\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\b|\b[0-9]{1,2}:[0-9]{2}\s*(?:am|pm)\b|^(?:[a-z0-9_\-]+\s+vi|vii|iv)$"
+_PLACED = "round_even(top / 100.0, 2) AS y, round_even(\"left\" / 400.0, 2) AS x"
+_ENDS_IN = "regexp_matches(lower(rtrim(before)), '(?:{0}),?$')"
+
 ORACLE_SQL = {
     "win_02_lines": _fold("baseline, stream_index", "CAST(1 AS BIGINT) AS grp, CAST(baseline AS DOUBLE) AS total, 1 AS n", f"s.grp + CASE WHEN {_MEAN} THEN 0 ELSE 1 END, CASE WHEN {_MEAN} THEN s.total + o.baseline ELSE o.baseline END, CASE WHEN {_MEAN} THEN s.n + 1 ELSE 1 END"),
     "win_03_anchored": _fold("baseline, stream_index", *_anchored("baseline", 5)),
@@ -96,7 +106,7 @@ ORACLE_SQL = {
       met AS (SELECT h.page, count(*) AS crossings FROM h JOIN v ON h.page = v.page AND x BETWEEN a - 5 AND b + 5 AND y BETWEEN c - 5 AND d + 5 GROUP BY 1)
       SELECT page, x0, y0, x1, y1, crossings FROM box JOIN span USING (page) JOIN tall USING (page) JOIN met USING (page) WHERE x1 - x0 >= 100 AND y1 - y0 >= 50 AND nh >= 5 AND nv >= 4 AND sh >= 4 AND sv >= 3 AND crossings >= 12 AND crossings >= 0.7 * nh * nv""",
     "arr_01_distinct": "SELECT l_orderkey, string_agg(l_returnflag, '' ORDER BY p, l_returnflag) AS kinds FROM (SELECT l_orderkey, l_returnflag, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2) GROUP BY 1",
-    "flt_06_spines": f"WITH {_FRAG} SELECT doc_id, stream_index, trim(left(text, 3)) <> '' AND length(trim(left(text, 3))) <= 3 AND \"left\" * 8 > {PAGE_W} * 0.8 AND height > width % 9 * 2 AS spine FROM f",
+    "flt_06_spines": f"WITH {_FRAG} SELECT doc_id, stream_index, length(CAST(font_size AS VARCHAR)) <= 3 AND \"left\" * 8 > {PAGE_W} * 0.8 AND height > width % 9 * 2 AS spine FROM f",
     "flt_18_rtl": "SELECT doc_id, coalesce(length(regexp_replace(text, '\\s+', '', 'g')) >= 50 AND len(regexp_extract_all(text, '[\\x{0590}-\\x{08FF}\\x{FB1D}-\\x{FDFF}\\x{FE70}-\\x{FEFF}]')) >= 0.15 * length(regexp_replace(text, '\\s+', '', 'g')), false) AS rtl FROM documents",
     "ext_03_aligned": f"""WITH {_FRAG}, x AS (SELECT doc_id, page, count(*) AS c FROM (SELECT doc_id, page, round_even("left" / 10.0, 0) AS v FROM f GROUP BY 1, 2, 3 HAVING count(*) >= 2) GROUP BY 1, 2), y AS (SELECT doc_id, page, count(*) AS r FROM (SELECT doc_id, page, round_even(top / 10.0, 0) AS v FROM f GROUP BY 1, 2, 3 HAVING count(*) >= 2) GROUP BY 1, 2)
       SELECT doc_id, page, coalesce(c, 0) >= 2 AND coalesce(r, 0) >= 2 AS is_table FROM (SELECT DISTINCT doc_id, page FROM f) LEFT JOIN x USING (doc_id, page) LEFT JOIN y USING (doc_id, page)""",
@@ -111,4 +121,27 @@ ORACLE_SQL = {
     "src_12_layout": f"WITH {FRAGMENTS_SQL} SELECT doc_id, page, concat('t', stream_index) AS text, CAST(top AS DOUBLE) AS top, CAST(\"left\" AS DOUBLE) AS \"left\", CAST(top + height AS DOUBLE) AS baseline FROM frag",
     "src_11_files": "SELECT 'file=9780' AS isbn, 'other' AS file_type UNION ALL SELECT 'file=9781', 'other'",
     "xml_03_edits": "SELECT fix, kind, n * (SELECT count(*) FROM nation) AS n FROM (VALUES ('fix_13_excluded', 'unwrap', 1), ('fix_13_excluded', 'remove', 1), ('fix_03_figures', 'imagedata', 1), ('fix_06_paragraphs', 'nested para', 1)) v(fix, kind, n)",
+    "join_16_scripts": f"WITH {_FRAG}, {_SCRIPTS} SELECT pg AS page, stream_index, parent FROM pa",
+    "win_36_scripts": f"""WITH {_FRAG}, {_SCRIPTS}, k AS (SELECT a.pg, a.stream_index, pa.parent, a.top - b.top AS diff, a.top, a.height, b.baseline AS base, a.t, b.t AS x FROM pa JOIN f2 a ON a.pg = pa.pg AND a.stream_index = pa.stream_index JOIN f2 b ON b.pg = pa.pg AND b.stream_index = pa.parent),
+      m AS (SELECT *, CASE WHEN diff BETWEEN -3 AND 2 OR diff < 3 AND top + height <= base + 2 THEN 'superscript' WHEN diff BETWEEN 3 AND 10 OR diff >= 3 AND top >= base - 2 THEN 'subscript' END AS script FROM k)
+      SELECT pg AS page, stream_index, parent, script, concat(x, CASE script WHEN 'superscript' THEN '^' ELSE '_' END, t) AS merged_text FROM m WHERE script IS NOT NULL""",
+    "flt_04_noise": f"WITH {_FRAG}, t AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM f) SELECT doc_id, stream_index, top > 105 OR top < -20 OR regexp_matches(t, '{_NOISE}') OR height < 6 OR (top < 12 OR top > 85) AND (n_chars % 5 = 0 OR regexp_matches(t, '^(?:[0-9]{{1,4}}|[ivxlcdm]+)$')) AS noise FROM t",
+    "win_17_pages": f"""WITH {_FRAG}, l AS (SELECT doc_id, page, text, col_id FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY baseline DESC, stream_index) = 1),
+      s AS (SELECT doc_id, page, text, col_id FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY baseline, stream_index) = 1),
+      n AS (SELECT doc_id, page, rtrim(l.text, ' ') AS a, l.col_id AS c, ltrim(lead(s.text) OVER w, ' ') AS b, lead(s.col_id) OVER w AS e FROM l JOIN s USING (doc_id, page) WINDOW w AS (PARTITION BY doc_id ORDER BY page))
+      SELECT doc_id, page, coalesce(a <> '' AND b <> '' AND NOT (regexp_matches(a, '[.!?:;]$') AND NOT suffix(a, '...')) AND NOT (length(b) <= 50 AND regexp_matches(b, '^\\p{{Lu}}+$')) AND NOT (length(b) > 2 AND regexp_matches(b, '^\\p{{Lu}}\\s*\\.')) AND (c = 0) = (e = 0), false) AS merges FROM n""",
+    "win_16_continues": f"""WITH {_FRAG}, w AS (SELECT *, lag(text) OVER o AS before, abs("left" - (lag("left") OVER o + lag(width) OVER o)) AS gap, lag(block) OVER o AS last_block FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY stream_index))
+      SELECT doc_id, stream_index, coalesce(last_block = block AND (suffix(before, ' ') OR prefix(text, ' ') OR suffix(before, '-') OR CASE WHEN gap <= 5 THEN regexp_matches(text, '^[,.;:!?)\\]}}]') OR regexp_matches(before, '[(\\[{{]$') OR {_ENDS_IN.format('|'.join(CONTINUES))} OR regexp_matches(text, '^\\p{{Lu}}') AND gap <= 2 WHEN gap <= 15 THEN {_ENDS_IN.format('|'.join(CONTINUES_FAR))} ELSE false END), false) AS continues FROM w""",
+    "agg_18_headers": f"""WITH {_FRAG}, p AS (SELECT doc_id, max(page) + 1 AS n_pages FROM f GROUP BY 1), t AS (SELECT doc_id, concat('header ', stream_index % 2) AS t, {_PLACED} FROM f),
+      n AS (SELECT doc_id, t, count(*) AS n FROM t WHERE y < 0.12 OR y > 0.88 GROUP BY doc_id, t, round_even(y, 1), round_even(x, 1))
+      SELECT doc_id, t AS norm_text, max(n) AS n FROM n JOIN p USING (doc_id) WHERE n >= CASE WHEN n_pages >= 500 THEN greatest(10, n_pages // 100) ELSE greatest(3, n_pages // 10) END GROUP BY 1, 2""",
+    "agg_17_repeated": f"""WITH {_FRAG}, t AS (SELECT doc_id, page, concat('Running header ', page) AS t, {_PLACED} FROM f),
+      g AS (SELECT doc_id, y, x, count(*) AS n, count(*) FILTER (y < 0.12 OR y > 0.88) AS z, count(DISTINCT t) AS k, max(page) - min(page) AS span FROM t GROUP BY 1, 2, 3)
+      SELECT DISTINCT doc_id, t AS text FROM t JOIN g USING (doc_id, y, x) WHERE n >= 3 AND z >= 2 AND (k = 1 AND z >= 3 OR k >= 2 AND span <= 3 * k)""",
+    "ext_17_lines": _fold('top, "left", stream_index', *_anchored("top", 2)).replace(f"SELECT {_COLUMNS}, grp FROM made", "SELECT doc_id, count(*) AS lines, max(size) AS largest FROM (SELECT doc_id, page, grp, max(font_size) AS size FROM made GROUP BY 1, 2, 3 HAVING bool_or(regexp_matches(text, '[^ \\t\\n\\r]'))) GROUP BY 1"),
+    "ext_22_segments": f"WITH {_FRAG}, c AS (SELECT doc_id, coalesce(lag(bold) OVER w = bold AND lag(font_size) OVER w = font_size, false) AS same FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY stream_index)) SELECT doc_id, count(*) FILTER (NOT same) AS runs, count(*) AS fragments FROM c GROUP BY 1",
+    "ext_24_preprocess": f'WITH {_FRAG} SELECT doc_id, count(*) AS n, CAST(max(page * {PAGE_H} + top) AS DOUBLE) AS lowest FROM (SELECT DISTINCT doc_id, page, top, "left", width, height, text FROM f) GROUP BY 1',
+    "ext_13_panels": f"WITH {BOXES_SQL} SELECT page, component, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS panels FROM ({LAYOUT_SQL['graph_01_components']}) JOIN (SELECT DISTINCT * FROM boxes) USING (page, box) GROUP BY 1, 2 HAVING count(*) >= 2",
+    "snk_02_lines": f"""WITH {_FRAG}, c AS (SELECT concat(doc_id, '-', page, '-', baseline) AS line, stream_index % 6 AS col, string_agg(text, ' ' ORDER BY "left", text) AS t FROM f GROUP BY 1, 2)
+      SELECT line, CAST(length(coalesce(string_agg(t, ' | ' ORDER BY col, t) FILTER (col >= 4), '')) AS INTEGER) AS n FROM c GROUP BY 1""",
 }
