@@ -40,12 +40,16 @@ NEAR_SHINGLE, NEAR_WORDS, SIMILARITY = 5, 4, 0.8
 KEY_BITS, STRIDE = 16, 8
 #: Largest bucket compared as it is; larger ones are split by their other bits, then tiled.
 BUCKET = 1024
+#: Buckets up to this size would leave most lanes of a block empty; their few pairs are compared one by one.
+FEW = 16
 #: A tiled bucket is cut into so many chunks at most, which bounds how often a row is sent.
 MOST_CHUNKS = 64
 #: Rows (an id and a hash each) that may be broadcast to tell which documents go; beyond, they are joined by their keys.
 MOST_BROADCAST = 1_000_000
 #: Shingles hashed at a time, which bounds memory for very long texts.
 WINDOW = 1 << 17
+#: Blocks turned into planes at a time.
+BLOCKS = 256
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -170,37 +174,53 @@ def bucket_links(fps: np.ndarray, starts: np.ndarray, side: np.ndarray, radius:
     only; 2 in a bucket that is compared with itself.
     """
     n = len(fps)
+    label = np.arange(n)
     sizes = np.diff(np.append(starts, n))
-    blocks_of = (sizes + 63) // 64
-    first = np.concatenate([[0], np.cumsum(blocks_of)[:-1]]).astype(np.int64)
     bucket = np.repeat(np.arange(len(starts)), sizes)
-    place = np.arange(n) - starts[bucket]
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        real = (side[a] == 2) | (side[a] != side[b])
+        _union(label, a[real], b[real])
+
+    small = sizes[bucket] <= FEW
+    for apart in range(1, FEW):
+        a = np.nonzero(small[:-apart] & (bucket[apart:] == bucket[:-apart]))[0] if apart < n else np.zeros(0, np.int64)
+        if not len(a):
+            break
+        a = a[np.bitwise_count(fps[a] ^ fps[a + apart]).sum(axis=1, dtype=np.int64) <= radius]
+        join(a, a + apart)
+    if small.all():
+        linked = np.nonzero(label != np.arange(n))[0]
+        return linked, label[linked]
+    rows = np.nonzero(~small)[0]  # the rest in blocks of 64 lanes
+    large = np.nonzero(sizes > FEW)[0]
+    blocks_of = (sizes[large] + 63) // 64
+    first = np.concatenate([[0], np.cumsum(blocks_of)[:-1]]).astype(np.int64)
+    own = np.repeat(np.arange(len(large)), sizes[large])
+    place = rows - starts[large][own]
     total = int(blocks_of.sum())
     laid, item = np.zeros((total, 64, fps.shape[1]), np.uint64), np.full((total, 64), -1, np.int64)
-    block, lane = first[bucket] + place // 64, place % 64
-    laid[block, lane], item[block, lane] = fps, np.arange(n)
-    planes = bit_planes(laid)
-    label = np.arange(n)
-    later = blocks_of[bucket] - place // 64  # the item's own block and those after it
-    later[sizes[bucket] == 1] = 0
+    block, lane = first[own] + place // 64, place % 64
+    laid[block, lane], item[block, lane] = fps[rows], rows
+    planes = np.concatenate([bit_planes(laid[k : k + BLOCKS]) for k in range(0, total, BLOCKS)], axis=1)
+    later = blocks_of[own] - place // 64  # the item's own block and those after it
     ends = np.cumsum(later)
     at = 0
-    while at < n:
+    while at < len(rows):
         done = ends[at - 1] if at else 0
         upto = max(at + 1, int(np.searchsorted(ends, done + chunk, side="right")))
         take = np.arange(at, upto)
         many = later[take]
         who = np.repeat(take, many)
         which = block[who] + np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
-        masks = within(planes, fps[who], which, radius)
+        masks = within(planes, fps[rows[who]], which, radius)
         hit = masks != 0
         if hit.any():
             who, which = who[hit], which[hit]
             bits = np.unpackbits(masks[hit].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             k, lane_of = np.nonzero(bits)
-            a, b = who[k], item[which[k], lane_of]
-            real = (b > a) & ((side[a] == 2) | (side[a] != side[b]))
-            _union(label, a[real], b[real])
+            a, b = rows[who[k]], item[which[k], lane_of]
+            join(a[b > a], b[b > a])
         at = upto
     linked = np.nonzero(label != np.arange(n))[0]
     return linked, label[linked]
