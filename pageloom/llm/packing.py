@@ -40,7 +40,7 @@ GAP = 0.002
 STEADY = 0.8
 TOKENIZER = "word_bpe_49k.json"
 #: Words in each of the two generations that a worker remembers.
-MOST_WORDS, LONGEST_WORD = 400_000, 256
+MOST_WORDS, LONGEST_WORD = 300_000, 256
 
 _LETTERS, _NUMBERS = "a-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 #: A text with any other character goes through the tokenizer library as a whole.
