@@ -13,12 +13,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
+    """The shared folder of ``spark.checkpoint.dir``. Where it is unset, a folder of our own in local mode; an error on a cluster."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir", None)
+    current = context.getCheckpointDir()
+    if shared is None and current is None and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if current is None:
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pageloom-checkpoint-"))
-    return shared or spark.sparkContext.getCheckpointDir()
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pageloom-checkpoint-"))
+    return shared or context.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
