@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import dtd as D
 from ..operators import markup as M
 from ..operators import markup_variants as V
 from ..sources import extension as X
@@ -68,6 +69,16 @@ def _after_fixes(s, d):
     )
 
 
+#: A small document type of the chapters that the queries build.
+_DTD = """<!ENTITY % blocks "para | section | p | link | imagedata">
+<!ELEMENT chapter (title?, (%blocks;)*)> <!ELEMENT section (title, para+)> <!ELEMENT title (#PCDATA)> <!ELEMENT para (#PCDATA | link)*>
+<!ELEMENT link (#PCDATA)> <!ELEMENT imagedata EMPTY> <!ATTLIST link linkend IDREF #REQUIRED> <!ATTLIST imagedata fileref CDATA #REQUIRED>"""
+
+
+def _by_dtd(s, d):
+    return D.dtd_errors(M.node_table(_chapters(s, d)), D.models(s, _DTD)).groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _chain(s, d):
     """Adapter, fixer without the link rule, validator: the errors that are left, by type."""
     names = [n for n in M.CHAIN if n != "fix_15_links"]
@@ -119,7 +130,7 @@ QUERIES = {
     "fix_02_formal": _fix(_rich, "fix_02_formal"), "fix_05_cals": _fix(_rich, "fix_05_cals"), "fix_07_bridgeheads": _fix(_rich, "fix_07_bridgeheads"), "fix_08_media": _fix(_rich, "fix_08_media"),
     "fix_09_models": _fix(_rich, "fix_09_models", "fix_09_order"), "fix_14_space": _fix(_rich, "fix_14_space"),
     "fix_16_core": _fix(_faulty, rewrites=V.CORE), "fix_17_targeted": _fix(_faulty, rewrites=V.TARGETED),
-    "val_01_after_fixes": _after_fixes, "udf_02_chain": _chain,
+    "val_01_dtd": _by_dtd, "val_01_after_fixes": _after_fixes, "udf_02_chain": _chain,
     "udf_03_validator": lambda s, d: U.RuleValidator().validate(_chapters(s, d)).groupBy("is_valid").agg(F.count(F.lit(1)).alias("chapters"), F.sum("n_errors").cast("bigint").alias("errors"), F.sum(F.coalesce(F.col("by_type")["Broken Link"], F.lit(0))).cast("bigint").alias("links")),
     "udf_04_fixer": lambda s, d: U.ChainFixer("core").fix(_faulty(s, d)).select("chapter", F.size("fixes").alias("fixes"), F.size(F.array_distinct(F.transform("fixes", lambda f: f["kind"]))).alias("kinds")),
     "udf_05_packager": _packaged, "udf_06_table_store": _stored("table"), "udf_06_folder_store": _stored("folder"), "udf_07_transformer": _transformed,
@@ -135,6 +146,7 @@ ORACLE_SQL = {
     "fix_08_media": _sums(6, ("fix_08_media", "empty media", "k3")), "fix_09_models": _sums(6, ("fix_09_models", "content", "k1 + k4")), "fix_14_space": _sums(6, ("fix_14_space", "space", "k5"), ("fix_14_space", "empty figure", "k5")),
     "fix_16_core": _sums(7, *_CORE_ROWS),
     "fix_17_targeted": _sums(7, ("target_images", "wrapped image", "k0"), ("target_media", "empty media", "k4"), ("target_texts", "phrase", "k1"), ("target_tables", "table title", "k3"), ("target_tables", "cols", "k3"), ("target_sections", "title first", "k5")),
+    "val_01_dtd": f"WITH {_LINES}, e AS (SELECT 'Text Not Allowed' AS error_type, count(*) AS n FROM g UNION ALL SELECT 'Undeclared Element', CAST(sum(3 * a) AS BIGINT) FROM g UNION ALL SELECT 'Invalid Content Model', CAST(sum(r) AS BIGINT) FROM g UNION ALL SELECT 'Missing Attribute', CAST(sum(a) AS BIGINT) FROM g UNION ALL SELECT 'Broken Link', CAST(sum(a) AS BIGINT) FROM g) SELECT * FROM e WHERE n > 0",
     "val_01_after_fixes": f"WITH {_LINES}, t AS (SELECT g.*, {_LATE} AS o FROM g) SELECT count(*) AS chapters, CAST(sum({' + '.join(n for *_, n in _CHAIN_COUNTS)}) AS BIGINT) AS fixes, CAST(sum({_ERRORS}) AS BIGINT) AS before, CAST(0 AS BIGINT) AS after FROM t",
     "udf_02_chain": f"WITH {_LINES} SELECT 'Broken Link' AS error_type, CAST(sum(a) AS BIGINT) AS n FROM g HAVING sum(a) > 0",
     "udf_03_validator": f"WITH {_LINES} SELECT false AS is_valid, count(*) AS chapters, CAST(sum({_ERRORS}) AS BIGINT) AS errors, CAST(sum(a) AS BIGINT) AS links FROM g",
