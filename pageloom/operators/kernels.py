@@ -27,7 +27,35 @@ def _same_as_before(column: pa.ChunkedArray) -> np.ndarray:
     return pc.or_(equal, pc.and_(pc.is_null(now, nan_is_null=True), pc.is_null(before, nan_is_null=True))).to_numpy()
 
 
-def per_group(df: DataFrame, keys: list[str], order: list[str], out: str, kind: str, kernel: Callable[[pd.DataFrame], list]) -> DataFrame:
+class Values(np.ndarray):
+    """A column of one group: an array whose elements come out as Python values."""
+
+    def __iter__(self):
+        return iter(self.tolist())
+
+
+class Group:
+    """The rows of one group by column name; a view, so that many small groups cost little."""
+
+    __slots__ = ("_columns", "_begin", "_end")
+
+    def __init__(self, columns: dict[str, Values], begin: int, end: int):
+        self._columns, self._begin, self._end = columns, begin, end
+
+    def __getattr__(self, name: str) -> Values:
+        try:
+            return self._columns[name][self._begin : self._end]
+        except KeyError:
+            raise AttributeError(name) from None
+
+    def __len__(self) -> int:
+        return self._end - self._begin
+
+    def records(self) -> list[dict]:
+        return [dict(zip(self._columns, row, strict=True)) for row in zip(*(c[self._begin : self._end] for c in self._columns.values()), strict=True)]
+
+
+def per_group(df: DataFrame, keys: list[str], order: list[str], out: str, kind: str, kernel: Callable[[Group], list]) -> DataFrame:
     """``df`` with a column that ``kernel`` computes from each group's rows in order.
 
     Groups are small and many, so they pass through Python in batches of sorted
@@ -48,8 +76,9 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], out: str, kind:
 
     def solved(rows: pa.Table, starts: np.ndarray):
         frame, values = rows.to_pandas(), []
-        for i, j in zip(starts, [*starts[1:], len(rows)], strict=True):
-            values.extend(kernel(frame.iloc[i:j].reset_index(drop=True)))
+        columns = {name: frame[name].to_numpy().view(Values) for name in frame.columns}
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+            values.extend(kernel(Group(columns, i, j)))
         made = rows.append_column(out, pa.chunked_array([pa.Array.from_pandas(pd.Series(values, dtype=object), type=out_type)]))
         return made.combine_chunks().to_batches()
 

@@ -450,6 +450,24 @@ def broken_links(nodes: DataFrame, key: str = "chapter") -> DataFrame:
     return used.join(ids, [key, "target"], "left_anti").withColumn("is_page", F.coalesce(F.col("target").startswith("page_"), F.lit(False)))
 
 
+_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+
+
+def dangling_targets(xml: Column) -> Column:
+    """Targets of a chapter's links that none of its ids meets, null for a link without target.
+
+    Read from the tags inside the chapter's own row, without a parser or a join; a
+    chapter that is no XML is read as far as its tags go.
+    """
+    bare = F.regexp_replace(xml, r"(?s)<!DOCTYPE[^\[>]*(?:\[.*?\]\s*)?>|<!--.*?-->|<!\[CDATA\[.*?\]\]>", "")
+    value = lambda tag, name: F.nullif(F.regexp_extract(tag, rf"""(?s)\s{name}\s*=\s*(["'])(.*?)\1""", 2), F.lit(""))
+    of = lambda names: F.regexp_extract_all(bare, F.lit(rf"(?s)<(?:[\w.-]+:)?{names}(?=[\s/>]){_ATTRIBUTES}>"), F.lit(0))
+    ids = F.transform(F.regexp_extract_all(bare, F.lit(rf"""(?s)<[\w:.-]+(?=[^>]*\sid\s*=){_ATTRIBUTES}>"""), F.lit(0)), lambda t: value(t, "id"))
+    targets = F.transform(of("(?:link|xref)"), lambda t: value(t, "linkend"))
+    known = F.filter(ids, lambda i: i.isNotNull())
+    return F.filter(targets, lambda t: t.isNull() | ~F.array_contains(known, t))
+
+
 def violations(nodes: DataFrame, key: str = "chapter") -> DataFrame:
     """Error rows of the rule subset: titles, required attributes, allowed children, dangling links. No full validation."""
     kids = nodes.select(F.col(key), F.col("parent_id").alias("node_id"), F.col("tag").alias("child"))

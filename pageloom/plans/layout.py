@@ -136,7 +136,7 @@ def _components(s, d):
                 above = min(a[2], c[2]) > max(a[0], c[0]) and max(a[1], c[1]) - min(a[3], c[3]) <= 20
                 if beside or above:
                     edges.append((i, j))
-        return [int(p.box.iloc[r]) for r in K.components(len(rows), edges)]
+        return [int(p.box[r]) for r in K.components(len(rows), edges)]
 
     return K.per_group(b, ["page"], ["box"], "component", "bigint", kernel).select("page", "box", "component").distinct()
 
@@ -149,7 +149,7 @@ def _labels(s, d):
     f = _frag(s, d)
     heading = F.when(F.col("font_size") >= 15, F.when(F.col("stream_index") % 7 == 0, "toc").when(F.col("stream_index") % 5 == 0, "chapter").otherwise("section"))
     rows = f.select("doc_id", "stream_index", "text", "font_size", F.when(F.col("n_chars") % 31 == 0, "table").otherwise("line").alias("kind"), heading.alias("heading"), (F.col("n_chars") < 3).alias("is_noise"), (F.col("n_chars") % 11 == 0).alias("is_list"), (F.col("page") % 2 == 0).alias("in_outline"))
-    return K.per_group(rows, ["doc_id"], ["stream_index"], "label", "string", lambda p: K.block_labels(p.to_dict("records"))).select("doc_id", "stream_index", "label")
+    return K.per_group(rows, ["doc_id"], ["stream_index"], "label", "string", lambda p: K.block_labels(p.records())).select("doc_id", "stream_index", "label")
 
 
 QUERIES = {
@@ -233,7 +233,7 @@ QUERIES = {
     "win_12_repair": _group(lambda p: K.repair_columns(list(p.col_id), list(p.baseline), 5.0), ("baseline", "stream_index")),
     "win_13_blocks": _group(lambda p: K.reading_blocks(list(p.baseline), list(p.col_id)), ("baseline", "stream_index")),
     "win_14_inline": _group(lambda p: K.inline_runs(list(zip(p.text, p.left, p.width, p.height, strict=True)), set(N.CONTINUES)), ("left", "stream_index")),
-    "win_15_paragraphs": _group(lambda p: K.paragraph_groups(p.to_dict("records")), ("stream_index",), ("doc_id",)),
+    "win_15_paragraphs": _group(lambda p: K.paragraph_groups(p.records()), ("stream_index",), ("doc_id",)),
     "win_21_tables": lambda s, d: K.per_group(_frag(s, d).select("doc_id", "page", "stream_index", "n_chars"), ["doc_id"], ["stream_index"], "merged", "boolean", lambda p: K.table_chains(list(zip(p.page, p.n_chars % 4, p.n_chars % 9 == 0, strict=True)))),
     "win_22_list_levels": lambda s, d: K.per_group(_frag(s, d).select("doc_id", "page", "stream_index", "n_chars"), ["doc_id"], ["stream_index"], "level", "bigint", lambda p: K.list_levels(list(p.n_chars % 9), list(p.page))),
     "win_29_headings": _group(lambda p: K.heading_lines(list(p.font_size)), ("stream_index",)),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from pageloom.operators import markup as M
 
@@ -71,3 +72,16 @@ def test_tables_and_images():
     png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (5).to_bytes(4) + (7).to_bytes(4)
     assert M.image_facts(png) == (5, 7, "PNG") and M.image_facts(b"GIF89a" + b"\x03\0\x04\0") == (3, 4, "GIF") and M.image_facts(None) == (0, 0, "")
     assert M.image_facts(b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x09\x00\x08\x03") == (8, 9, "JPEG")
+
+
+def test_dangling_targets_are_those_of_the_node_table(spark):
+    texts = [
+        "<c><link linkend='a'>x</link><xref linkend=\"b\"/><para id='a'/><!-- <para id='b'/> --></c>", "<c><link>t</link><link linkend=''/></c>", "<c id='c'><link url='a>b' linkend='c'>x</link><linked linkend='z'/></c>",
+        "<!DOCTYPE c [<!ENTITY x 'y'>]><c><xref linkend='q'/>&x;</c>", "<c><p title='id=1' id = 'k'/><link linkend='k'/><link linkend='1'/></c>", "<c/>",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "chapter int, xml string")
+    by_nodes = {i: [] for i in range(len(texts))}
+    for r in M.broken_links(M.node_table(df)).collect():
+        by_nodes[r["chapter"]].append(r["target"] or None)
+    made = {r["chapter"]: r["t"] for r in df.select("chapter", M.dangling_targets(F.col("xml")).alias("t")).collect()}
+    assert {i: sorted(t, key=str) for i, t in made.items()} == {i: sorted(t, key=str) for i, t in by_nodes.items()}
