@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from functools import cache
 
@@ -84,10 +85,11 @@ def _encoder(spec: str) -> WordEncoder:
     return WordEncoder(spec)
 
 
-def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, checksum: bool = False) -> DataFrame:
     """``(id_col, start, length, ids, doc_tokens)``: each document's ids, then ``end_id``, cut every ``capacity`` ids.
 
-    ``ids`` holds little-endian unsigned 32-bit ids. A null text counts as empty
+    ``ids`` holds little-endian unsigned 32-bit ids; with ``checksum`` there is
+    their CRC-32 as ``ids_crc32`` instead, and no ids leave Python. A null text counts as empty
     and still has ``end_id``; repeated rows are cut each; other columns are not
     read; an empty table gives an empty result.
     """
@@ -97,6 +99,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     narrow = df.select(F.col(id_col), F.col(text_col).alias("__text"))
     end = np.asarray([end_id], "<u4").tobytes()
     step = 4 * capacity
+    name, kind, made = ("ids_crc32", pa.int64(), zlib.crc32) if checksum else ("ids", pa.binary(), bytes)
 
     def run(batches):
         encoder = _encoder(spec.value)
@@ -107,16 +110,16 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             def out(rows=rows, ids=ids):
                 who, start, length, data, total = zip(*rows, strict=True)
                 return pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(who)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(data, pa.binary()), pa.array(total, pa.int64())],
-                    names=[id_col, "start", "length", "ids", "doc_tokens"],
+                    [ids.take(pa.array(who)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(data, kind), pa.array(total, pa.int64())],
+                    names=[id_col, "start", "length", name, "doc_tokens"],
                 )
 
             for i, text in enumerate(batch.column(1)):
                 data = encoder.encode(text.as_py() or "") + end
                 for at in range(0, len(data), step):
                     part = data[at : at + step]
-                    rows.append((i, at // 4, len(part) // 4, part, len(data) // 4))
-                held += len(data)
+                    rows.append((i, at // 4, len(part) // 4, made(part), len(data) // 4))
+                held += 64 if checksum else len(data)
                 if held > 1 << 24:
                     yield out()
                     rows.clear()
@@ -124,8 +127,8 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             if rows:
                 yield out()
 
-    kind = narrow.schema[id_col].dataType.simpleString()
-    return narrow.mapInArrow(run, f"`{id_col}` {kind}, start bigint, length bigint, ids binary, doc_tokens bigint")
+    id_type = narrow.schema[id_col].dataType.simpleString()
+    return narrow.mapInArrow(run, f"`{id_col}` {id_type}, start bigint, length bigint, {name} {'bigint' if checksum else 'binary'}, doc_tokens bigint")
 
 
 def _best_pattern(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -262,6 +265,4 @@ def pack(cut: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, unit:
 
 def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Every piece of every document with its place: ``pieces`` and ``pack``, carrying a checksum of the ids instead of the ids."""
-    cut = pieces(df, id_col, text_col, tokenizer)
-    stored = checkpoint(cut.select(id_col, "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
-    return pack(stored, id_col, tie="ids_crc32")
+    return pack(checkpoint(pieces(df, id_col, text_col, tokenizer, checksum=True)), id_col, tie="ids_crc32")

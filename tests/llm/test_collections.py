@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -275,7 +275,18 @@ def test_pipeline(spark, corpus):
 
 def test_pipeline_stages_on_odd_rows(spark, docs, empty):
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    for df in (plain, plain.limit(0), empty.select(plain.columns)):
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, df, "").count() >= 0
-    assert len(TEXTS) == plain.count() and plain.filter(F.col("text").isNull()).count() == 2
+    rows = plain.collect()
+    assert len(TEXTS) == len(rows) and sum(r["text"] is None for r in rows) == 2
+    stages = dict(corpus_pipeline.STAGES)
+    good = stages["quality"](spark, plain, "").collect()
+    assert all(r in rows for r in good) and not any((r["text"] or "").split() == [] for r in good) and sum(r["doc_id"] == 2 for r in good) == 2
+    single = stages["simhash"](spark, plain, "").collect()
+    assert all(r in rows for r in single) and len(set(single)) == len(single)
+    texts = Counter((r["text"] or "").strip() for r in single)
+    assert texts[""] == 1 and max(texts.values()) == 1 and {t.strip() for _, t in TEXTS if t} >= set(texts)
+    clean = stages["pii"](spark, plain, "").collect()
+    assert len(clean) == len(rows) and sum(r["text"] is None for r in clean) == 2 and all(r["n_chars"] == len(r["text"]) for r in clean if r["text"] is not None)
+    pieces = stages["packing"](spark, plain, "").collect()
+    assert Counter(r["doc_id"] for r in pieces if r["start"] == 0) == Counter(r["doc_id"] for r in rows)
+    for df in (plain.limit(0), empty.select(plain.columns)):
+        assert all(stage(spark, df, "").count() == 0 for stage in stages.values())
