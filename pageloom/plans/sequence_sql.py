@@ -68,6 +68,19 @@ _NOISE = r"\.indd\b|\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\b|\b[0-9]{1,2}:[0-9]{2}\s
 _PLACED = "round_even(top / 100.0, 2) AS y, round_even(\"left\" / 400.0, 2) AS x"
 _ENDS_IN = "regexp_matches(lower(rtrim(before)), '(?:{0}),?$')"
 
+_INLINE = (
+    """(o.text ~ '^[ .,;:!?)\\\\]}"''…»›]*[.,;:!?)\\\\]}"''…»›][ .,;:!?)\\\\]}"''…»›]*$' AND o."left" - s.last <= 10 OR trim(s.words) IN ('•', '●', '○', '■', '□', '▪', '▫', '·', '-', '*', '–', '—', '→', '⇒', '▸', '►') AND o."left" - s.last <= 20 OR abs(o."left" - s.last) <= 5"""
+    """ OR prefix(o.text, ' ') AND abs(o."left" - s.last - 1) <= 5 OR o."left" - s.last > 0 AND o."left" - s.last < 0.5 * least(s.tall, o.height) OR o."left" - s.last > 0 AND o."left" - s.last <= 15 AND regexp_matches(rtrim(lower(s.words)), '(?:"""
+    + "|".join(CONTINUES) + "),?$'))"
+).replace("\\\\", "\\")
+_SAME = "o.col_id = s.col_id AND o.block = s.block"
+_GAP, _MOST = "(o.top - (s.top + s.height))", "(1.5 * s.height)"
+_HYPHEN, _ENDED = "(suffix(rtrim(s.text), '-') AND regexp_matches(ltrim(o.text), '^\\p{Ll}'))", "regexp_matches(rtrim(s.text), '[.!?]$')"
+_NEW = f"(s.width < 0.95 * s.span AND {_ENDED} AND regexp_matches(ltrim(o.text), '^\\p{{Lu}}'))"
+_BREAKS = f"""CASE WHEN o.page <> s.page THEN true WHEN NOT ({_SAME}) THEN NOT ({_HYPHEN} OR NOT {_ENDED} AND {_GAP} < {_MOST}) WHEN abs(s.top - o.top) <= 3 AND (suffix(s.text, ' ') OR suffix(s.text, '-') OR prefix(o.text, ' ')) THEN false
+  WHEN abs(s.font_size - o.font_size) >= 2 OR s.bold <> o.bold THEN true WHEN {_GAP} > {_MOST} THEN NOT {_HYPHEN} WHEN {_GAP} > 3 THEN s."left" - o."left" > 50 OR {_NEW} OR {_GAP} > o.font_size ELSE {_NEW} END"""
+_CARRIED = ("page", "text", "top", "height", '"left"', "width", "font_size", "bold", "col_id", "span")
+
 ORACLE_SQL = {
     "win_02_lines": _fold("baseline, stream_index", "CAST(1 AS BIGINT) AS grp, CAST(baseline AS DOUBLE) AS total, 1 AS n", f"s.grp + CASE WHEN {_MEAN} THEN 0 ELSE 1 END, CASE WHEN {_MEAN} THEN s.total + o.baseline ELSE o.baseline END, CASE WHEN {_MEAN} THEN s.n + 1 ELSE 1 END"),
     "win_03_anchored": _fold("baseline, stream_index", *_anchored("baseline", 5)),
@@ -144,4 +157,24 @@ ORACLE_SQL = {
     "ext_13_panels": f"WITH {BOXES_SQL} SELECT page, component, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS panels FROM ({LAYOUT_SQL['graph_01_components']}) JOIN (SELECT DISTINCT * FROM boxes) USING (page, box) GROUP BY 1, 2 HAVING count(*) >= 2",
     "snk_02_lines": f"""WITH {_FRAG}, c AS (SELECT concat(doc_id, '-', page, '-', baseline) AS line, stream_index % 6 AS col, string_agg(text, ' ' ORDER BY "left", text) AS t FROM f GROUP BY 1, 2)
       SELECT line, CAST(length(coalesce(string_agg(t, ' | ' ORDER BY col, t) FILTER (col >= 4), '')) AS INTEGER) AS n FROM c GROUP BY 1""",
+    "win_14_inline": _fold('"left", stream_index', 'CAST(1 AS BIGINT) AS grp, text AS words, "left" + width AS last, height AS tall', f'CASE WHEN {_INLINE} THEN s.grp ELSE s.grp + 1 END, CASE WHEN {_INLINE} THEN concat(s.words, o.text) ELSE o.text END, CASE WHEN {_INLINE} THEN greatest(s.last, o."left" + o.width) ELSE o."left" + o.width END, CASE WHEN {_INLINE} THEN s.tall ELSE o.height END'),
+    "win_15_paragraphs": _fold(
+        "stream_index", "CAST(1 AS BIGINT) AS grp, block, " + ", ".join(_CARRIED), f"s.grp + CASE WHEN {_BREAKS} THEN 1 ELSE 0 END, CASE WHEN o.page = s.page AND NOT ({_SAME}) AND ({_HYPHEN} OR NOT {_ENDED} AND {_GAP} < {_MOST}) THEN s.block ELSE o.block END, " + ", ".join("o." + c for c in _CARRIED),
+        "s.grp", _DOC, "spans", f"""{_FRAG}, spans AS (SELECT *, max("left" + width) OVER (PARTITION BY doc_id, col_id) - min("left") OVER (PARTITION BY doc_id, col_id) AS span FROM f)""",
+    ),
+    "flt_05_footers": f"""WITH {_FRAG}, t AS (SELECT *, trim(text) AS t, lower(trim(text)) AS low, prefix(lower(trim(text)), 'copyright') OR contains(text, '©') OR contains(lower(text), '(c)') AS c FROM f), k AS (SELECT doc_id, text, min(stream_index) AS first FROM t WHERE c AND page_num <= 5 GROUP BY 1, 2)
+      SELECT doc_id, stream_index, CASE WHEN t = '' THEN true WHEN c THEN NOT coalesce(stream_index = first, false) ELSE (regexp_matches(t, '^[0-9]{{1,4}}$') OR regexp_matches(t, '(?i)^[ivxlcdm]+$') AND length(t) <= 5) AND (top < 8 OR top > 90)
+        OR regexp_matches(low, '[0-9]{{3,}}-[0-9]{{3,}}.*\\.(?:indd|qxd)|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}\\s+[0-9]{{1,2}}:[0-9]{{2}}|^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$|^[0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}$') OR regexp_matches(low, '\\(continued\\)|continued on|continued from|\\(cont\\.?\\)')
+        OR regexp_matches(low, '^page\\s+[0-9]+(?:\\s+of\\s+[0-9]+)?$') OR length(t) <= 25 AND (top < 10 OR top > 88) AND ("left" < 60 OR "left" > 320) AND font_size < 16 OR regexp_matches(t, '^[0-9]{{1,4}}$') AND top > 85
+        OR regexp_matches(low, 'isbn[-:\\s]*[0-9]|published by|all rights reserved|printed in') AND top > 80 END AS is_footer FROM t LEFT JOIN k USING (doc_id, text)""",
+    "ext_09_trim": f"""WITH RECURSIVE {BOXES_SQL}, a AS (SELECT *, row_number() OVER () AS id FROM boxes WHERE kind = 'R'), b AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY box, x0, y0, x1, y1) AS k FROM boxes WHERE kind = 'N'),
+      s AS (SELECT page, box, id, x0, x1, CAST(y0 AS DOUBLE) AS y0, CAST(y1 AS DOUBLE) AS y1, 0 AS k FROM a
+        UNION ALL SELECT s.page, s.box, s.id, s.x0, s.x1, CASE WHEN h AND b.y0 < s.y0 + 0.3 * (s.y1 - s.y0) THEN greatest(s.y0, b.y1 + 5.0) ELSE s.y0 END,
+          CASE WHEN h AND NOT b.y0 < s.y0 + 0.3 * (s.y1 - s.y0) AND b.y1 > s.y1 - 0.3 * (s.y1 - s.y0) THEN least(s.y1, b.y0 - 5.0) ELSE s.y1 END, b.k
+        FROM s JOIN b ON b.page = s.page AND b.k = s.k + 1, LATERAL (SELECT b.x0 < s.x1 AND s.x0 < b.x1 AND b.y0 < s.y1 AND s.y0 < b.y1 AS h) hit)
+      SELECT page, box, y0, y1 FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1""",
+    "ext_04_line_tables": f"""WITH {_RULES}, hi AS (SELECT *, sum(n) OVER (PARTITION BY page ORDER BY a ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN a - lag(a) OVER (PARTITION BY page ORDER BY a) <= 5 THEN 0 ELSE 1 END AS n FROM h)),
+      vi AS (SELECT *, sum(n) OVER (PARTITION BY page ORDER BY c ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN c - lag(c) OVER (PARTITION BY page ORDER BY c) <= 5 THEN 0 ELSE 1 END AS n FROM v)),
+      x AS (SELECT page, min(a) AS x0, max(b) AS x1 FROM (SELECT page, g, min(a) AS a, max(b) AS b FROM hi GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1), y AS (SELECT page, min(c) AS y0, max(d) AS y1 FROM (SELECT page, g, min(c) AS c, max(d) AS d FROM vi GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1)
+      SELECT page, x0, x1, y0, y1 FROM x JOIN y USING (page) WHERE x1 - x0 > 50 AND y1 - y0 > 30""",
 }
