@@ -50,13 +50,9 @@ def _repeated(found: Column) -> Column:
     return let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("bigint")).otherwise(covered(w)))
 
 
-def base_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with the base counts and ``base_failed``; a null text counts as empty.
-
-    Windows are compared by 64-bit hashes inside one document. Columns of ``df``
-    with the name of a result are replaced.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def _base(text: Column) -> Column:
+    """All that is counted in one text, as one struct."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \t-\r]"))
 
     def counts(w: Column) -> Column:
@@ -66,12 +62,16 @@ def base_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
             _repeated(w).alias("n_repeat_words"),
         )
 
-    counted = df.withColumn("__q_base", F.struct(
+    return F.struct(
         let(words(text), counts).alias("w"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
         F.length(text).cast("bigint").alias("chars"),
         let(lines, lambda x: F.struct(F.size(x).cast("bigint").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"))).alias("l"),
-    ))
+    )
+
+
+def _named(counted: DataFrame) -> DataFrame:
+    """``__q_base`` spread over the result columns, and ``base_failed``."""
     out = counted.withColumns({
         "n_words": F.col("__q_base.w.n_words"), "word_chars": F.col("__q_base.w.word_chars"), "n_symbols": F.col("__q_base.n_symbols"), "n_text_chars": F.col("__q_base.chars"),
         "n_lines": F.col("__q_base.l.n_lines"), "n_dup_lines": F.col("__q_base.l.n_dup_lines"), "n_repeat_words": F.col("__q_base.w.n_repeat_words"),
@@ -79,6 +79,15 @@ def base_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")))
 
 
+def base_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with the base counts and ``base_failed``; a null text counts as empty.
+
+    Windows are compared by 64-bit hashes inside one document. Columns of ``df``
+    with the name of a result are replaced.
+    """
+    return _named(df.withColumn("__q_base", _base(F.col(text_col))))
+
+
 def _ratios() -> dict[str, Column]:
     """Mean word length; plain characters for each symbol or white space; logarithm of the mean line length; and the shares that are zero in good text."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
@@ -171,9 +180,11 @@ def quality(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
 
 def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``df``, unchanged, that ``quality`` keeps. Texts are read twice rather than written between."""
-    narrow = df.select(F.col(text_col).alias("__q_t"), F.col(lang_col).alias("__q_l"), F.col(source_col).alias("__q_s"))
-    limits = checkpoint(fences(sketches(base_counts(narrow, "__q_t"), "__q_l", "__q_s")))
-    # all input columns lie in one struct, where no name can clash
-    held = df.select(F.struct(*df.columns).alias("__q_row")).select("__q_row", *(F.col("__q_row")[c].alias(k) for k, c in (("__q_t", text_col), ("__q_l", lang_col), ("__q_s", source_col))))
-    judged = _judge(base_counts(held, "__q_t"), limits, "__q_l", "__q_s").filter("kept")
-    return judged.select(*(F.col("__q_row")[c].alias(c) for c in df.columns))
+    keys = {"__q_l": lang_col, "__q_s": source_col}
+    narrow = df.select(*(F.col(c).alias(k) for k, c in keys.items()), _base(F.col(text_col)).alias("__q_base"))
+    limits = checkpoint(fences(sketches(_named(narrow), "__q_l", "__q_s")))
+    # all input columns lie in one struct, where no name can clash and the text is held once
+    row = F.col("__q_row")
+    held = df.select(F.struct(*df.columns).alias("__q_row")).select("__q_row", *(row[c].alias(k) for k, c in keys.items()), _base(row[text_col]).alias("__q_base"))
+    judged = _judge(_named(held), limits, "__q_l", "__q_s").filter("kept")
+    return judged.select(*(row[c].alias(c) for c in df.columns))
