@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import Counter
 from functools import cache
@@ -50,6 +51,16 @@ _UNUSUAL = re.compile("[^\t\n\r -~¡-¬®-įı-ſ]")
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^ \t\n\r{_LETTERS}{_NUMBERS}]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE writes for each byte: visible Latin-1 characters for themselves, the rest in order from U+0100 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return {b: chr(b if b in visible else next(rest)) for b in range(256)}
+
+
+_LETTERS_OF = _byte_letters()
+
+
 class WordEncoder(dict):
     """Ids of texts as little-endian bytes. Words are encoded apart by the tokenizer, so each distinct word is encoded once."""
 
@@ -58,15 +69,22 @@ class WordEncoder(dict):
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """One lower-case piece of the pre-split by the model alone; normalizer and pre-split leave such a piece as it is."""
+        letters = word if word.isascii() else "".join(map(_LETTERS_OF.__getitem__, word.encode()))
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = self._whole(word)
+            ids = self._word(word)
         if len(word) <= LONGEST_WORD:
             if len(self) >= MOST_WORDS:  # words used since the last change stay known for another
                 self.older = dict(self)
