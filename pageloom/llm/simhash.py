@@ -44,7 +44,7 @@ BUCKET = 1024
 FEW = 16
 #: A tiled bucket is cut into so many chunks at most, which bounds how often a row is sent.
 MOST_CHUNKS = 64
-#: Rows (an id and a hash each) that may be broadcast to tell which documents go; beyond, they are joined by their keys.
+#: Rows (an id and a hash each) that may be broadcast to tell which documents go, or which keys are hot; beyond, they are joined by their keys.
 MOST_BROADCAST = 1_000_000
 #: Shingles hashed at a time, which bounds memory for very long texts.
 WINDOW = 1 << 17
@@ -344,8 +344,9 @@ def wide_links(nodes: DataFrame, words: list[str], radius: int, bucket: int = BU
     first = nodes.select("node", *words, F.explode(F.array(*map(key, starts))).alias("k")).select("k.k1", "k.k2", F.lit(0).cast("bigint").alias("k3"), F.lit(2).alias("side"), "node", *words)
     # at most 2**KEY_BITS keys for each start, whatever the number of rows
     hot = checkpoint(first.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket))
-    if not hot.isEmpty():
-        sized = first.join(hot, ["k1", "k2"], "left")
+    n_hot = hot.count()
+    if n_hot:
+        sized = first.join(F.broadcast(hot) if n_hot <= MOST_BROADCAST else hot, ["k1", "k2"], "left")
         cold = sized.filter("n IS NULL").select(*first.columns)
         first = cold.union(_tiles(sized.filter("n IS NOT NULL"), "node", words, bucket).select(*first.columns))
     return _compared(first, radius, words, "node")
@@ -403,16 +404,22 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
         nodes = nodes.withColumn("node", F.col("fp"))
     classes = checkpoint(connected_components(found))
     rooted = nodes.join(classes, "node", "left").select(*names, F.coalesce("component", "node").alias("root"))
-    return _keep_one(df, marked.join(rooted, names).select("__id", "__key", "root"), id_col, text_col)
+    # copies collapse to one row a text before any join, so that many of them are no hot key
+    texts = marked.groupBy("__key", *names).agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"))).alias("least"))
+    best = texts.join(rooted, names).groupBy("root").agg(F.min(F.struct("least", "__key")).alias("b"))
+    return _keep_one(df, marked, best.select(F.col("b.least.id").alias("__best_id"), F.col("b.__key").alias("__best_key")), id_col, text_col)
 
 
-def _keep_one(df: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``df`` that stay, by ``classes`` (``__id, __key, root``), without shuffling their texts where few go."""
+def _keep_one(df: DataFrame, marked: DataFrame, best: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` that stay, without shuffling their texts where few go.
+
+    ``marked`` has ``__id`` and ``__key``, the hash of the text, of every row; ``best``
+    the id and hash of the one that stays of each class.
+    """
     text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    best = classes.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"))).alias("b"))
     # a text lies in one class, so rows meet their class's choice by id and text, and a large class is no hot key
-    chosen = best.select(F.col("b.id").alias("__best_id"), F.col("b.key").alias("__best_key"), F.lit(True).alias("__best"))
-    held = classes.groupBy("__id", "__key").agg(F.count(F.lit(1)).alias("n"))
+    chosen = best.withColumn("__best", F.lit(True))
+    held = marked.groupBy("__id", "__key").agg(F.count(F.lit(1)).alias("n"))
     held = held.join(chosen, F.col("__id").eqNullSafe(F.col("__best_id")) & (F.col("__key") == F.col("__best_key")), "left")
     # ids and texts that go, or stay once of several rows: all others are kept as they are
     odd = checkpoint(held.select("__id", "__key", F.col("__best").isNotNull().alias("__stays"), "n").filter("NOT __stays OR n > 1").drop("n"))
