@@ -194,7 +194,7 @@ QUERIES = {
     "xml_05_images": lambda s, d: M.images(table(s, d, "part").select("p_partkey", F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), F.unhex(F.lpad(F.hex(F.col("p_partkey")), 8, "0")), F.unhex(F.lpad(F.hex(F.col("p_size").cast("bigint")), 8, "0"))).alias("content")), "p_partkey", "content"),
     "agg_23_elements": lambda s, d: M.element_counts(_nodes(s, d).withColumnRenamed("chapter", "book"), "book"),
     "join_05_links": lambda s, d: _chapters(s, d).select("chapter", F.size(M.dangling_targets(F.col("xml"))).cast("bigint").alias("n")).filter("n > 0"),
-    "val_01_rules": lambda s, d: M.violations(_nodes(s, d)).groupBy("error_type").agg(F.count(F.lit(1)).alias("n")),
+    "val_01_rules": lambda s, d: M.chapter_violations(_chapters(s, d)).groupBy("error_type").agg(F.count(F.lit(1)).alias("n")),
     "fix_01_titles": _fix("fix_01_titles"), "fix_03_figures": _fix("fix_03_figures"), "fix_04_levels": _fix("fix_04_levels"),
     "fix_06_paragraphs": _fix("fix_06_paragraphs"),
     "fix_10_empty": _fix("fix_10_empty"), "fix_11_attributes": _fix("fix_11_attributes"), "fix_12_ids": _fix("fix_04_levels", "fix_12_ids"), "fix_13_excluded": _fix("fix_13_excluded"),
