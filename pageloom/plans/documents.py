@@ -28,7 +28,9 @@ def scratch(spark) -> str:
 
 # ---- chapters: an order is a chapter, its lines are blocks of three kinds ----
 def _lines(s, d):
-    return table(s, d, "lineitem").select("l_orderkey", "l_returnflag", (F.col("l_linenumber") * 10_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("o")).distinct()
+    """Lines of an order once each; ``o`` holds what they are ordered by, side by side, whatever the size of the keys."""
+    keys = ("l_linenumber", "l_partkey", "l_suppkey")
+    return table(s, d, "lineitem").select("l_orderkey", "l_returnflag", *keys).distinct().select("l_orderkey", "l_returnflag", F.struct(*keys).alias("o"))
 
 
 def _chapters(s, d):

@@ -20,7 +20,7 @@ def _built(blocks: dict[int, str], head: str):
     """A chapter for each order, with a block for each of its lines by the remainder of the line number."""
 
     def chapters(s, d):
-        number = F.floor(F.col("o") / 10_000_000_000).cast("int") % len(blocks)
+        number = F.col("o.l_linenumber").cast("int") % len(blocks)
         block = F.element_at(F.create_map(*(F.lit(x) for pair in blocks.items() for x in pair)), number)
         parts = F.array_sort(F.collect_list(F.struct("o", block.alias("b"))))
         xml = F.concat(F.lit("<chapter>" + head), F.array_join(F.transform(parts, lambda p: p["b"]), ""), F.lit("</chapter>"))
