@@ -9,7 +9,7 @@ from support import database, differences
 
 from pageloom.plans import registry
 
-NAMES = "fix_05_cals".split()
+NAMES = "fix_05_cals udf_04_fixer".split()
 
 
 @pytest.fixture(scope="module")
