@@ -9,7 +9,7 @@ from support import database, differences
 
 from pageloom.plans import registry
 
-NAMES = "fix_05_cals udf_04_fixer fix_02_formal".split()
+NAMES = "fix_05_cals udf_04_fixer fix_02_formal fix_09_models".split()
 
 
 @pytest.fixture(scope="module")
