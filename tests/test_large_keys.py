@@ -9,7 +9,7 @@ from support import database, differences
 
 from pageloom.plans import registry
 
-NAMES = "fix_05_cals udf_04_fixer fix_02_formal fix_09_models fix_17_targeted".split()
+NAMES = "fix_05_cals udf_04_fixer fix_02_formal fix_09_models fix_17_targeted agg_27_improvement".split()
 
 
 @pytest.fixture(scope="module")
