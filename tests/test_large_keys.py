@@ -9,7 +9,7 @@ from support import database, differences
 
 from pageloom.plans import registry
 
-NAMES = "fix_05_cals udf_04_fixer fix_02_formal fix_09_models fix_17_targeted agg_27_improvement fix_07_bridgeheads fix_14_space fix_18_chain fix_08_media".split()
+NAMES = "fix_05_cals udf_04_fixer fix_02_formal fix_09_models fix_17_targeted agg_27_improvement fix_07_bridgeheads fix_14_space fix_18_chain fix_08_media fix_16_core".split()
 
 
 @pytest.fixture(scope="module")
