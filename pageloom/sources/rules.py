@@ -15,7 +15,7 @@ class RuleValidator(X.Validator):
     """The rules of ``markup.violations``."""
 
     def errors(self, chapters: DataFrame, key: str = "chapter") -> DataFrame:
-        return M.violations(M.node_table(chapters, key), key)
+        return M.chapter_violations(chapters, key)
 
 
 class ChainFixer(X.Fixer):
