@@ -45,10 +45,10 @@ class Validator(ABC):
     def errors(self, chapters: DataFrame, key: str = "chapter") -> DataFrame: ...
 
     def validate(self, chapters: DataFrame, key: str = "chapter") -> DataFrame:
-        """One row for each chapter: whether it is valid, and its errors by type."""
+        """One row for each chapter: whether it is valid, and its errors by type; both sides grow with the corpus, so neither is broadcast."""
         found = self.errors(chapters, key).groupBy(key, "error_type").agg(F.count(F.lit(1)).alias("n"))
         by_type = found.groupBy(key).agg(F.sum("n").cast("bigint").alias("n_errors"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("error_type", "n")))).alias("by_type"))
-        joined = chapters.select(key).join(by_type, key, "left")
+        joined = chapters.select(key).join(by_type.hint("merge"), key, "left")
         return joined.select(key, F.col("n_errors").isNull().alias("is_valid"), F.coalesce("n_errors", F.lit(0)).cast("bigint").alias("n_errors"), "by_type")
 
     def validate_string(self, spark: SparkSession, xml: str, context: str = "string") -> DataFrame:

@@ -27,6 +27,11 @@ def test_errors_stay_inside_their_chapter(spark):
     assert sorted(found.collect()) == sorted(by_nodes.collect())
 
 
+@pytest.mark.parametrize("name", ["udf_03_validator"])
+def test_chapters_are_not_broadcast(spark, small, name):
+    assert "Broadcast" not in plan(registry.QUERIES[name](spark, small))
+
+
 @pytest.mark.parametrize("name", ["udf_02_chain", "val_01_rules"])
 def test_queries_join_no_nodes(spark, small, name):
     assert "Join" not in plan(registry.QUERIES[name](spark, small))
