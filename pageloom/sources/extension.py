@@ -69,7 +69,7 @@ class Fixer(ABC):
         fixed = self.fix(chapters, key)
         before = validator.validate(chapters, key).select(key, F.col("n_errors").alias("before"))
         after = validator.validate(fixed.select(key, "xml"), key).select(key, F.col("n_errors").alias("after"))
-        return fixed.select(key, F.size("fixes").cast("bigint").alias("n_fixes")).join(before, key).join(after, key)
+        return fixed.select(key, F.size("fixes").cast("bigint").alias("n_fixes")).join(before.hint("merge"), key).join(after.hint("merge"), key)
 
 
 class Packager(ABC):

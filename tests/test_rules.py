@@ -27,7 +27,7 @@ def test_errors_stay_inside_their_chapter(spark):
     assert sorted(found.collect()) == sorted(by_nodes.collect())
 
 
-@pytest.mark.parametrize("name", ["udf_03_validator", "udf_07_transformer"])
+@pytest.mark.parametrize("name", ["udf_03_validator", "udf_07_transformer", "val_01_after_fixes"])
 def test_chapters_are_not_broadcast(spark, small, name):
     assert "Broadcast" not in plan(registry.QUERIES[name](spark, small))
 
