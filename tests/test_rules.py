@@ -35,3 +35,7 @@ def test_chapters_are_not_broadcast(spark, small, name):
 @pytest.mark.parametrize("name", ["udf_02_chain", "val_01_rules"])
 def test_queries_join_no_nodes(spark, small, name):
     assert "Join" not in plan(registry.QUERIES[name](spark, small))
+
+
+def test_error_counts_join_no_nodes(spark, small):
+    assert "LeftAnti" not in plan(registry.QUERIES["snk_04_validation"](spark, small))
