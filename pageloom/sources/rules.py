@@ -17,6 +17,9 @@ class RuleValidator(X.Validator):
     def errors(self, chapters: DataFrame, key: str = "chapter") -> DataFrame:
         return M.chapter_violations(chapters, key)
 
+    def validate(self, chapters: DataFrame, key: str = "chapter") -> DataFrame:
+        return M.chapter_verdicts(chapters, key)
+
 
 class ChainFixer(X.Fixer):
     """A chain of rewrites: ``full``, ``core`` or ``targeted``."""

@@ -6,6 +6,7 @@ import pytest
 
 from pageloom.operators import markup as M
 from pageloom.plans import registry
+from pageloom.sources import extension as X
 from pageloom.sources import rules as U
 
 
@@ -39,3 +40,16 @@ def test_queries_join_no_nodes(spark, small, name):
 
 def test_error_counts_join_no_nodes(spark, small):
     assert "LeftAnti" not in plan(registry.QUERIES["snk_04_validation"](spark, small))
+
+
+@pytest.mark.parametrize("name,passes", [("udf_03_validator", 1), ("udf_07_transformer", 3)])
+def test_verdicts_join_no_errors(spark, small, name, passes):
+    found = plan(registry.QUERIES[name](spark, small)).partition("Initial Plan")[0]
+    assert "Join" not in found and found.count("MapInArrow") == passes
+
+
+def test_verdicts_are_those_of_the_joined_errors(spark):
+    df = chapters(spark)
+    rows = sorted(U.RuleValidator().validate(df).collect(), key=lambda r: r["chapter"])
+    assert rows == sorted(X.Validator.validate(U.RuleValidator(), df).collect(), key=lambda r: r["chapter"])
+    assert [(r["is_valid"], r["n_errors"]) for r in rows] == [(False, 8)] + [(True, 0)] * 4
