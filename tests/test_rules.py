@@ -53,3 +53,17 @@ def test_verdicts_are_those_of_the_joined_errors(spark):
     rows = sorted(U.RuleValidator().validate(df).collect(), key=lambda r: r["chapter"])
     assert rows == sorted(X.Validator.validate(U.RuleValidator(), df).collect(), key=lambda r: r["chapter"])
     assert [(r["is_valid"], r["n_errors"]) for r in rows] == [(False, 8)] + [(True, 0)] * 4
+
+
+def test_equal_texts_of_a_batch_are_worked_on_once(spark):
+    texts = ["<a/>", None, "<b><c/></b>", "<a/>", None, "", "<b><c/></b>"] * 3
+    calls = spark.sparkContext.accumulator(0)
+
+    def work(x):
+        calls.add(1)
+        return x, x and [{"fix": x, "kind": None, "detail": "d"}]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "chapter int, xml string").coalesce(1)
+    rows = M._row_by_row(df, "chapter", "xml", [("same", M.pa.string(), "string"), ("fixes", M._LOG, "array<struct<fix:string,kind:string,detail:string>>")], work).collect()
+    assert sorted((r["chapter"], r["same"]) for r in rows) == list(enumerate(texts))
+    assert all((r["fixes"][0]["fix"] if r["fixes"] else None) == (r["same"] or None) for r in rows) and calls.value == 4
